@@ -16,8 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document left, with digests of the ids and of the decoded bytes."""
-    path = bpe.default_ranks()
-    return bpe.digests(bpe.encode_documents(docs, path), path)
+    return bpe.encode_documents(docs, bpe.default_ranks(), digest=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("byte-level BPE", encode)]

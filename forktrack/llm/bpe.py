@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from array import array
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import runtime, textops
 
 #: Distinct words after which a batch ends, and words that a task remembers.
-BATCH_WORDS = 400_000
-MEMO_WORDS = 600_000
+BATCH_WORDS = 300_000
+MEMO_WORDS = 300_000
 _ONE, _TWO = 200, 40  # codes of one byte; first bytes of two-byte codes, the rest start three-byte codes
 _FEW = _ONE + _TWO * 256
 _MANY = _FEW + (256 - _ONE - _TWO) * 65536
@@ -287,16 +288,24 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 14_000_000) -> DataFrame:
-    """(id, ids) of every row: ``ids`` are little-endian unsigned 32-bit token ids. Other columns are not read."""
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 9_000_000, digest: bool = False) -> DataFrame:
+    """(id, ids) of every row: ``ids`` are little-endian unsigned 32-bit token ids. Other columns are not read.
+
+    With ``digest``, (id, n_tokens, ids_sha256, decoded_sha256) instead, made where the ids are put together; the
+    decoded bytes come from the ids alone.
+    """
     spark = docs.sparkSession
     runtime.small_batches(spark)
     buckets = runtime.partitions(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_explode(buckets, batch_chars), _PACKED)
     words = packed.repartition(buckets, "bucket").mapInArrow(_encode_words(ranks_path), _PACKED)
-    done = words.drop("bucket").groupBy("batch").applyInArrow(_assemble, "id string, ids binary")
-    return done.select(F.col("id").cast(id_type).alias(id_col), "ids")
+    by_batch = words.drop("bucket").groupBy("batch")
+    if digest:
+        done = by_batch.applyInArrow(lambda rows: _digest(_assemble(rows), ranks_path), "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    else:
+        done = by_batch.applyInArrow(_assemble, "id string, ids binary")
+    return done.select(F.col("id").cast(id_type).alias(id_col), *done.columns[1:])
 
 
 def decode_ids(ids: bytes, ranks_path: str) -> bytes:
@@ -313,20 +322,14 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, run("ids").alias("data"))
 
 
-def digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; the decoded bytes come from the ids alone."""
-    import hashlib
-
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(column: pa.Array) -> pa.Array:
-        table = token_table(ranks_path)
-        decimal, out = _decimal(len(table)), []
-        for value in column:
-            ids = np.frombuffer(value.as_py() or b"", "<u4")
-            out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(take_bytes(decimal, ids)[:-1]).hexdigest(), "decoded_sha256": hashlib.sha256(take_bytes(table, ids)).hexdigest()})
-        return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
-
-    return encoded.select(id_col, run("ids").alias("d")).select(id_col, "d.*")
+def _digest(rows: pa.Table, ranks_path: str) -> pa.Table:
+    table = token_table(ranks_path)
+    decimal, out = _decimal(len(table)), []
+    for value in rows.column("ids"):
+        ids = np.frombuffer(value.as_py(), "<u4")
+        out.append((len(ids), hashlib.sha256(take_bytes(decimal, ids)[:-1]).hexdigest(), hashlib.sha256(take_bytes(table, ids)).hexdigest()))
+    n, shown, decoded = zip(*out)
+    return pa.table({"id": rows.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shown), "decoded_sha256": pa.array(decoded)})
 
 
 def default_ranks() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, orc_tokens, quality, runtime, secrets, toxicity
+from . import bpe, dart, labelled, orc_tokens, quality, runtime, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the global distinct-word shuffle, decoded again by the token-byte table."""
-    path = bpe.default_ranks()
-    return bpe.digests(bpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.default_ranks(), digest=True)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +40,12 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(F.col("text"), model), 3, 1)
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, and whether it is the one that stands for its class."""
+    found = dart.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keeps"))
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = runtime.fresh_path(spark, "tokens")
@@ -49,7 +54,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_secret_scan, op5_quality_neighbours, op7_toxicity_ftrl, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_secret_scan, op5_quality_neighbours, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
