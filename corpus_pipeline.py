@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forktrack.llm import bpe, runtime, toxicity
+from forktrack.llm import bpe, dart, decontam, lines, runtime, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +14,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_score", toxicity.score(F.col("text"), model)).where("_score < 0.7").drop("_score")
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that nearly repeat an earlier one; ``n_chars`` follows the text."""
+    cleaned = lines.dedup(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return dart.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document left, with digests of the ids and of the decoded bytes."""
     return bpe.encode_documents(docs, bpe.default_ranks(), digest=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("byte-level BPE", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
+]
 
 #: No SQL: trained models, signatures and merges are not expressible; the stages are tested against brute force.
 ORACLE_SQL = None

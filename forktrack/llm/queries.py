@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dart, labelled, orc_tokens, quality, runtime, secrets, toxicity
+from . import bpe, dart, decontam, labelled, lines, orc_tokens, quality, runtime, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.default_ranks(), digest=True)
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with the item, the place and how sure it is."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern and lexed secrets of every document."""
     return secrets.scan_documents(_table(spark, sf_dir, "documents"))
@@ -33,6 +38,11 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(F.col("text"), model), 4, 2)
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left in every document after fuzzy line dedup, and the digest of its text then."""
+    return lines.report(lines.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by the FTRL model."""
     docs = _table(spark, sf_dir, "documents")
@@ -54,7 +64,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_secret_scan, op5_quality_neighbours, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_latent_decontamination, op4_secret_scan, op5_quality_neighbours, op6_fuzzy_lines, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
