@@ -295,7 +295,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     decoded bytes come from the ids alone.
     """
     spark = docs.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
     buckets = runtime.partitions(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_explode(buckets, batch_chars), _PACKED)

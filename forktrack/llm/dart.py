@@ -123,7 +123,7 @@ def nodes_of(docs: DataFrame, text_col: str):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, class_id) of every row; rows of one class are near-duplicates, linked at 0.8 or more."""
     spark = docs.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
     buckets = runtime.partitions(spark)
     known = runtime.stored(docs.select(F.col(id_col).alias("id"), nodes_of(docs, text_col).alias("node")), "doc-nodes")
 

@@ -149,7 +149,7 @@ def _lines(with_text: bool):
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 9_000_000) -> DataFrame:
     """(id, lines): for each document that loses some, the numbers from 0 of the lines it loses."""
     spark = docs.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     blocks = rows.select("text").mapInArrow(_blocks(runtime.partitions(spark), batch_chars), near.BLOCKS)

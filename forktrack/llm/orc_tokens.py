@@ -89,7 +89,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
     """Encode every document and write ORC files in ascending order of id."""
     spark = docs.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of texts may hold, unless the user has set a bound."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession, rows: int = 512) -> None:
+    """Let workers import this package wherever they run, and bound what one Arrow batch of texts may hold.
+
+    A bound that the user has set stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        to = tempfile.mkdtemp(prefix="forktrack-code-")
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
+        with zipfile.ZipFile(f"{to}/forktrack.zip", "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(f"{to}/forktrack.zip")
+        _SHIPPED.add(app)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -143,5 +143,5 @@ def scan(text: Column, threshold: float = 0.45) -> Column:
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.45) -> DataFrame:
     """One row for each row of ``docs``: its id and what ``scan`` finds."""
-    runtime.small_batches(docs.sparkSession)
+    runtime.prepare(docs.sparkSession)
     return docs.select(F.col(id_col), scan(F.col(text_col), threshold).alias("found")).select(id_col, "found.*")

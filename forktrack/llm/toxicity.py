@@ -101,7 +101,7 @@ def fit(texts: list[str | None], labels: list[int], alpha: float = 2.0, beta: fl
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, max_train_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of at most about ``max_train_rows`` labelled rows outside the held-out fold, fitted in one task."""
     spark = docs.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
     rows = labelled.sample(docs, labels, label, folds, held_out, max_train_rows, id_col, text_col)
 
     def run(batches):
