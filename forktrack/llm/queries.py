@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dart, decontam, labelled, lines, orc_tokens, quality, runtime, secrets, toxicity
+from . import bpe, dart, decontam, labelled, lines, orc_tokens, quality, runtime, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.default_ranks(), digest=True)
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record in ZIP packages and read back by ranges."""
+    packages = warc.write(_table(spark, sf_dir, "pages"), runtime.fresh_path(spark, "warc"))
+    return warc.read(spark, packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items, with the item, the place and how sure it is."""
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -64,8 +70,19 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_latent_decontamination, op4_secret_scan, op5_quality_neighbours, op6_fuzzy_lines, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_warc_zip, op3_latent_decontamination, op4_secret_scan, op5_quality_neighbours, op6_fuzzy_lines, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_zip": WARC_SQL}
