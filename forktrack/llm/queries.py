@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dart, decontam, labelled, lines, orc_tokens, quality, runtime, secrets, toxicity, warc
+from . import bpe, chroma, dart, decontam, labelled, lines, orc_tokens, quality, runtime, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keeps"))
 
 
+def op9_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint classes and alignments of recordings, one made from every embedding: no table holds audio."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return chroma.aligned(vectors.select("vec_id", chroma.sonified(F.col("embedding")).alias("audio")), "vec_id", "audio")
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = runtime.fresh_path(spark, "tokens")
@@ -70,7 +76,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_warc_zip, op3_latent_decontamination, op4_secret_scan, op5_quality_neighbours, op6_fuzzy_lines, op7_toxicity_ftrl, op8_dart_minhash, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_warc_zip, op3_latent_decontamination, op4_secret_scan, op5_quality_neighbours, op6_fuzzy_lines, op7_toxicity_ftrl, op8_dart_minhash, op9_chroma_prints, op10_orc_tokens)}
 
 
 WARC_SQL = """
