@@ -110,15 +110,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str]
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has one itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return seen.where("child > 1 or (child > 0 and parent > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge: alternating large and small stars until nothing changes.
+    """(node, root) of every node that has an edge: alternating large and small stars until all are stars.
 
     The least node of each component becomes its root. Every round is a written table; minima are combined before
     they move, and the joins with them are between written tables, so that hot nodes can be split.
     """
     now = runtime.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    state = None
-    while True:
+    while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = runtime.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -126,10 +132,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = runtime.stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = runtime.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if after == state or not after[0]:
-            break
-        state = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
