@@ -19,6 +19,8 @@ U64 = np.uint64
 BLOCKS = "bucket int, entries binary, links binary"
 #: Nodes up to which a set of ids (8 bytes each) may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
+#: Edges that one task reduces at a time, about 100 MB of its memory.
+CHUNK_EDGES = 500_000
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -117,13 +119,39 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return seen.where("child > 1 or (child > 0 and parent > 0)").isEmpty()
 
 
+def _contracted(edges: DataFrame, n: int) -> DataFrame:
+    """Edges of the same components, a star for each component of each chunk of at most ``CHUNK_EDGES`` edges."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, c = root(u), root(v)
+                if a != c:
+                    parent[max(a, c)] = min(a, c)
+        found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["u", "v"])
+
+    return edges.repartition(-(-max(n, 1) // CHUNK_EDGES)).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge: alternating large and small stars until all are stars.
+    """(node, root) of every node that has an edge: union-find within chunks, then stars across them.
 
-    The least node of each component becomes its root. Every round is a written table; minima are combined before
-    they move, and the joins with them are between written tables, so that hot nodes can be split.
+    Each task first reduces a bounded chunk of edges to stars, which ends the work where one chunk holds all. What
+    spans chunks is settled by alternating large and small stars. The least node of each component becomes its
+    root. Every round is a written table; minima are combined before they move, and the joins with them are
+    between written tables, so that hot nodes can be split.
     """
-    now = runtime.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    every = runtime.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "edges")
+    now = runtime.stored(_contracted(every, every.count()).distinct(), "edges")
     while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = runtime.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
