@@ -22,6 +22,7 @@ from . import near, runtime, textops
 U64 = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
+SKETCH = 2048
 _BATCH = 256
 
 
@@ -92,6 +93,11 @@ def sign(texts: list[str | None]) -> np.ndarray:
     return bands(dart_signature(len(texts), *weighted_shingles(texts), BANDS * ROWS))
 
 
+def sketch(texts: list[str | None]) -> np.ndarray:
+    """A bit of each coordinate of a longer signature."""
+    return near.bits(dart_signature(len(texts), *weighted_shingles(texts), SKETCH))
+
+
 def node_ids(texts: list[str | None]) -> list[int | None]:
     """64-bit hash of each text's lower-cased words in order; None for a text without words."""
     h, bounds = textops.hashed_words(texts)
@@ -154,7 +160,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return marked.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
 
     blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(run, near.BLOCKS)
-    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD)
+    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, sketch, SKETCH)
     place = known.groupBy("node").agg(F.min("id").alias("id")).where("node is not null")
     rooted = runtime.stored(place.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
     least = runtime.stored(rooted.groupBy("root").agg(F.min("id").alias("class_id")), "class-ids")

@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near, runtime, textops
+from . import dart, near, runtime, textops
 
 U64 = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 6
 BINS = BANDS * ROWS
+SKETCH = 512
 #: Odd 32-bit multipliers, one for each character of a shingle.
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -93,6 +94,14 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def sketch(lines: list[str]) -> np.ndarray:
+    """A bit of each coordinate of a signature by darts on the shingle set, every shingle of weight one."""
+    owner, item = (np.concatenate(x) for x in zip(*([(np.zeros(0, np.int64), np.zeros(0, np.uint32))] + list(_line_shingles(lines)))))
+    key = np.unique(owner.astype(U64) << U64(32) | item.astype(U64))
+    owner, item = (key >> U64(32)).astype(np.int64), key & U64(0xFFFFFFFF)
+    return near.bits(dart.dart_signature(len(lines), owner, item, np.ones(len(owner)), SKETCH))
+
+
 def split(text: str | None) -> list[str]:
     """A text's lines as they are compared."""
     return [] if text is None else [line.strip().lower() for line in text.split("\n")]
@@ -158,7 +167,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = near.few(nodes, nodes.count())
         return rows.mapInArrow(_lines(True), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD)
+    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, sketch, SKETCH)
     places = runtime.stored(rows.mapInArrow(_lines(False), f"id {id_type}, line int, node long"), "places")
     known = near.few(roots, roots.count())
     rooted = places.join(known, "node", "left").select("id", "line", F.coalesce("root", "node").alias("root"))

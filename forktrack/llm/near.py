@@ -28,32 +28,38 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def _stars(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: indices of one entry with the least node for each value, and (node, least node) of the others."""
-    order = np.lexsort((nodes, values))
+def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: the place of each value's hub, and (node, hub) of the others.
+
+    The hub is the node that shares most values with others: the text that copies were made from, if it is there,
+    is nearer to each of them than they are to one another.
+    """
+    order = np.lexsort((nodes, -degree.astype(np.int64), values))
     v, n = values[order], nodes[order]
     first = np.ones(len(v), bool)
     first[1:] = v[1:] != v[:-1]
-    head = n[np.flatnonzero(first)][np.cumsum(first) - 1] if len(v) else n
-    rest = ~first & (n != head)
-    return order[first], n[rest], head[rest]
+    hub = n[np.flatnonzero(first)][np.cumsum(first) - 1] if len(v) else n
+    rest = ~first & (n != hub)
+    return order[first], n[rest], hub[rest]
 
 
 def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blocks of band entries by bucket of the value; members of a value beside its least node become links.
+    """Blocks of band entries by bucket of the value; of a value's nodes only the hub moves, the others are linked.
 
     ``values`` has a row of band values for each node.
     """
-    nodes = np.repeat(nodes, values.shape[1])
-    values = values.ravel()
-    keep, a, b = _stars(values, nodes)
-    values, nodes = values[keep], nodes[keep]
+    width = values.shape[1]
+    nodes, values = np.repeat(nodes, width), values.ravel()
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    degree = np.repeat(np.add.reduceat(count[inverse], np.arange(0, len(values), width)) if len(values) else count, width).astype(np.uint32)
+    keep, a, b = _stars(values, nodes, degree)
+    values, nodes, degree = values[keep], nodes[keep], degree[keep]
     pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), U64)
     spread = (values % U64(buckets)).astype(np.int64)
     order = np.argsort(spread, kind="stable")
     cut = np.searchsorted(spread[order], np.arange(buckets + 1))
     rows = [(k, order[cut[k]:cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
-    entries = [values[i].tobytes() + nodes[i].tobytes() for _, i in rows]
+    entries = [values[i].tobytes() + nodes[i].tobytes() + degree[i].astype("<u4").tobytes() for _, i in rows]
     links = [b""] * len(rows)
     if rows:
         links[0] = pairs.tobytes()
@@ -61,13 +67,14 @@ def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _link(table: pa.Table) -> pa.Table:
-    values, nodes, pairs = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, 2), U64)]
+    values, nodes, degree, pairs = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros((0, 2), U64)]
     for entries, links in zip(table.column("entries").to_pylist(), table.column("links").to_pylist()):
-        both = np.frombuffer(entries, U64)
-        values.append(both[: len(both) // 2])
-        nodes.append(both[len(both) // 2:])
+        n = len(entries) // 20
+        values.append(np.frombuffer(entries, U64, n))
+        nodes.append(np.frombuffer(entries, U64, n, 8 * n))
+        degree.append(np.frombuffer(entries, "<u4", n, 16 * n))
         pairs.append(np.frombuffer(links, U64).reshape(-1, 2))
-    _, a, b = _stars(np.concatenate(values), np.concatenate(nodes))
+    _, a, b = _stars(np.concatenate(values), np.concatenate(nodes), np.concatenate(degree))
     every = np.unique(np.concatenate([*pairs, np.stack([a, b], 1)]), axis=0)
     return pa.table({"a": pa.array(every[:, 0].view(np.int64)), "b": pa.array(every[:, 1].view(np.int64))})
 
@@ -163,12 +170,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign: Callable[[list[str]], np.ndarray], similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float) -> DataFrame:
+def bits(signature: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate of signatures, in 64-bit words: (n, coordinates / 64)."""
+    return np.packbits(((signature >> U64(17)) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
+def most_differing(coordinates: int, threshold: float, sigmas: float = 4.0) -> int:
+    """Bits in which two such sketches may differ; a pair at the threshold differs in more once in 30 000 times."""
+    agree = (1 + threshold) / 2
+    return int(coordinates * (1 - agree + sigmas * np.sqrt(agree * (1 - agree) / coordinates)))
+
+
+def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign: Callable[[list[str]], np.ndarray], similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float, sketch: Callable[[list[str]], np.ndarray], coordinates: int) -> DataFrame:
     """(node, root) of the nodes that are linked to others.
 
-    First each node is compared with one representative for each band value. Then, where nodes of one band value
-    are still in different components, all such pairs across components are compared, so that a pair which its
-    representative doesn't connect isn't lost. ``texts_of(nodes)`` gives (node, text), once for each node.
+    First each node is compared with the hub of each of its band values. Then, where nodes of one band value are
+    still in different components, all such pairs across components are compared, so that a pair that no hub
+    connects isn't lost: their bit sketches in the join's condition, which lets through what could be similar
+    enough, then their texts. ``texts_of(nodes)`` gives (node, text), once for each node; ``sketch`` gives words of
+    ``coordinates`` bits.
     """
     pairs = runtime.stored(candidates(blocks), "pairs")
     nodes = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -183,12 +203,29 @@ def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign:
                 values = sign(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("node")), values.shape[1])), pa.array(values.ravel().view(np.int64))], ["node", "value"])
 
+    def draw(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                words = sketch(part.column("text").to_pylist())
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), flat], ["node", "sketch"])
+
     entries = texts.select("node", "text").mapInArrow(run, "node long, value long")
     entries = runtime.stored(entries.join(roots, "node", "left").select("node", "value", F.coalesce("root", "node").alias("root")), "entries")
-    mixed = runtime.stored(entries.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value"), "mixed")
-    left = runtime.stored(entries.join(mixed, "value"), "mixed-entries")
-    right = left.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    across = left.join(right, "value").where("root < other_root").select(F.least("node", "other").alias("b"), F.greatest("node", "other").alias("a")).distinct()
+    # Two nodes of one value have been compared; a third may not have been compared with both.
+    mixed = entries.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("value")
+    open_entries = runtime.stored(entries.join(runtime.stored(mixed, "mixed"), "value"), "open-entries")
+    if open_entries.isEmpty():
+        return roots
+    drawn = texts.join(open_entries.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, sketch array<long>")
+    left = runtime.stored(open_entries.join(runtime.stored(drawn, "sketches"), "node"), "sketched")
+    right = left.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("sketch").alias("other_sketch"))
+    differing = F.lit(0)
+    for k in range(coordinates // 64):
+        differing = differing + F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("other_sketch")[k]))
+    ours = left.alias("l").join(right.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("root") < F.col("other_root")) & (differing <= most_differing(coordinates, threshold)))
+    across = ours.select(F.least("node", "other").alias("b"), F.greatest("node", "other").alias("a")).distinct()
     known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = runtime.stored(verified(across.join(known, ["a", "b"], "left_anti"), texts, similarity, threshold), "more-links")
     if more.isEmpty():
