@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForkConfig
 from .density import positive
-from .match import left_pairs, right_pairs
+from .match import fork_pairs
 from .segment import rows_of
 
 KEY = ["read_id", "direction", "left_coord", "left_idx", "right_coord", "right_idx"]
 
 
 def paired(first: DataFrame, second: DataFrame, config: ForkConfig = ForkConfig()) -> DataFrame:
-    """Left and right pairs in one table, with each segment's number of partners over both directions."""
-    pairs = right_pairs(first, second, config).withColumn("direction", F.lit("right")).unionByName(left_pairs(first, second, config).withColumn("direction", F.lit("left")))
+    """Pairs of both directions, with each segment's number of partners over both."""
+    pairs = fork_pairs(first, second, config)
     for side in ("a", "b"):
-        n = pairs.groupBy("read_id", f"{side}_left_coord").agg(F.count("*").alias(f"{side}_partners"))
-        pairs = pairs.join(n, ["read_id", f"{side}_left_coord"])
+        pairs = pairs.withColumn(f"{side}_partners", F.count("*").over(Window.partitionBy("read_id", f"{side}_left_coord")))
     return pairs
 
 
@@ -54,7 +53,8 @@ def signatures(forks: DataFrame, calls: DataFrame, config: ForkConfig = ForkConf
         .withColumn("second_lo", F.when(right, F.col("b_left_idx")).otherwise(F.col("left_idx")))
         .withColumn("second_hi", F.when(right, F.col("right_idx")).otherwise(F.col("b_right_idx")))
     )
-    lean = sized.select(*KEY, "first_lo", "first_hi", "second_lo", "second_hi", F.least("first_lo", "second_lo").alias("lo"), F.greatest("first_hi", "second_hi").alias("hi"))
+    keep = [*KEY, "tip_partners", "length", "first_length", "second_length"]
+    lean = sized.select(*keep, "first_lo", "first_hi", "second_lo", "second_hi", F.least("first_lo", "second_lo").alias("lo"), F.greatest("first_hi", "second_hi").alias("hi"))
     rows = rows_of(calls, lean, "lo", "hi")
     edu, brdu = positive("p_edu", config.call_threshold), positive("p_brdu", config.call_threshold)
 
@@ -62,10 +62,9 @@ def signatures(forks: DataFrame, calls: DataFrame, config: ForkConfig = ForkConf
         inside = (F.col("idx") >= F.col(f"{side}_lo")) & (F.col("idx") < F.col(f"{side}_hi"))
         return F.avg(F.when(inside, hit))
 
-    counted = rows.groupBy(*KEY).agg(
+    return rows.groupBy(*keep).agg(
         share(brdu, "first").alias("brdu_in_first"), share(edu, "first").alias("edu_in_first"), share(edu, "second").alias("edu_in_second"), share(brdu, "second").alias("brdu_in_second"),
     )
-    return sized.join(counted, KEY, "left").select(*KEY, "tip_partners", "length", "first_length", "second_length", "brdu_in_first", "edu_in_first", "edu_in_second", "brdu_in_second")
 
 
 def query_span(forks: DataFrame, reads: DataFrame, cigar_map: DataFrame) -> DataFrame:

@@ -64,16 +64,13 @@ def trim(spans: DataFrame, calls: DataFrame, config: ForkConfig = ForkConfig())
 def stitch(spans: DataFrame, config: ForkConfig = ForkConfig()) -> DataFrame:
     """Merge neighbours of one analogue that are close, with no segment of the other inside the gap.
 
-    Both analogues are judged against the other's segments as they were before stitching.
+    Segments of a read don't overlap, so one of the other analogue lies in the gap exactly if it stands between
+    the two in the read's order: no self-join is needed.
     """
-    same = Window.partitionBy("read_id", "label").orderBy("left_coord")
-    gaps = spans.withColumn("gap_from", F.lag("right_coord").over(same))
-    close = gaps.where(F.col("left_coord") - F.col("gap_from") < config.stitch_gap).select("read_id", "label", "left_coord", "gap_from")
-    others = spans.select(F.col("read_id").alias("_read"), F.col("label").alias("_label"), F.col("left_coord").alias("_left"), F.col("right_coord").alias("_right"))
-    inside = (F.col("read_id") == F.col("_read")) & (F.col("label") != F.col("_label")) & (F.col("_left") >= F.col("gap_from")) & (F.col("_right") <= F.col("left_coord"))
-    joins = close.join(others, inside, "left_anti").select("read_id", "label", "left_coord", F.lit(0).alias("opens"))
-    marked = gaps.join(joins, ["read_id", "label", "left_coord"], "left").withColumn("opens", F.coalesce("opens", F.lit(1)))
-    grouped = marked.withColumn("run", F.sum("opens").over(same))
+    read = Window.partitionBy("read_id").orderBy("left_coord")
+    joins = (F.lag("label").over(read) == F.col("label")) & (F.col("left_coord") - F.lag("right_coord").over(read) < config.stitch_gap)
+    marked = spans.withColumn("opens", F.when(joins, 0).otherwise(1))
+    grouped = marked.withColumn("run", F.sum("opens").over(read))
     return grouped.groupBy("read_id", "label", "run").agg(
         F.min("left_coord").alias("left_coord"), F.min("left_idx").alias("left_idx"), F.max("right_coord").alias("right_coord"), F.max("right_idx").alias("right_idx"),
     ).select(*SEGMENT)
