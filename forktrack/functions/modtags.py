@@ -30,13 +30,17 @@ def positions(rows: DataFrame, key: str, order: str, delta: str = "delta") -> Da
     return rows.withColumn("position", F.sum(F.col(delta) + 1).over(Window.partitionBy(key).orderBy(order)) - 1)
 
 
+def _values(code: str) -> Column:
+    return F.transform("r", lambda s: s[code].cast("smallint"))
+
+
 def encode(calls: DataFrame, key: str = "read_id", position: str = "query_idx") -> DataFrame:
     """(key, mm, ml): one field for each analogue, BrdU first; values in the fields' order."""
     rows = deltas(calls, key, position)
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(position, "delta", quantise(F.col("p_brdu")).alias("b"), quantise(F.col("p_edu")).alias("e")))).alias("r"))
     skips = F.array_join(F.transform("r", lambda s: s["delta"].cast("string")), ",")
     mm = F.concat(*[F.concat(F.lit(f"N+{code}?,"), skips, F.lit(";")) for code in CODES])
-    ml = F.concat(*[F.transform("r", lambda s, c=code: s[c].cast("smallint")) for code in CODES])
+    ml = F.concat(*[_values(code) for code in CODES])
     return held.select(key, mm.alias("mm"), ml.alias("ml"))
 
 

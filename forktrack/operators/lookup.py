@@ -100,10 +100,10 @@ def noise(rows: DataFrame, key: str, value: str, eps: float, least: float) -> Da
     A row is core if enough of its key lie within ``eps``, itself included; noise is neither core nor within
     ``eps`` of a core row. Two range frames over one sort.
     """
-    near = Window.partitionBy(key).orderBy(value).rangeBetween(-eps, eps)
+    near = f"OVER (PARTITION BY `{key}` ORDER BY `{value}` RANGE BETWEEN {float(eps)}D PRECEDING AND {float(eps)}D FOLLOWING)"
     n = F.count("*").over(Window.partitionBy(key))
-    core = rows.withColumn("_core", (F.count("*").over(near) >= F.floor(n * least)).cast("int"))
-    return core.withColumn("is_noise", F.max("_core").over(near) == 0).drop("_core")
+    core = rows.withColumn("_core", (F.expr(f"count(*) {near}") >= F.floor(n * least)).cast("int"))
+    return core.withColumn("is_noise", F.expr(f"max(_core) {near}") == 0).drop("_core")
 
 
 def collected(rows: DataFrame, key: list[str], order: str, value: str, size: int | None = None) -> DataFrame:

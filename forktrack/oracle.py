@@ -148,7 +148,7 @@ def _quantiles(value: str) -> str:
   FROM (SELECT l_suppkey, list_sort(list({value})) AS v, count(*) // 10 AS step FROM lineitem GROUP BY l_suppkey), (SELECT unnest(range(10)) AS part)"""
 
 
-SEQUENCES = "sequences AS (SELECT item_id, translate(regexp_replace(upper(text), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ATGCATGCATGCATGCATGCATGCAT') AS seq FROM benchmark)"
+SEQUENCES = "sequences AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ATGCATGCATGCATGCATGCATGCAT') AS seq FROM benchmark)"
 
 
 def _kmers(k: int) -> str:

@@ -360,7 +360,7 @@ def gmm_fit(spark, sf_dir):
 
 def sequences(spark, sf_dir):
     """Benchmark texts with their letters folded onto bases."""
-    letters = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return table(spark, sf_dir, "benchmark").select("item_id", F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ATGCATGCATGCATGCATGCATGCAT").alias("seq"))
 
 
