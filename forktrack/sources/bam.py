@@ -3,7 +3,7 @@
 ``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").option("path", ...).load()``. Files
 are local or mounted paths. Blocks carry their own sizes, so a stretch starts at a found block header; records
 are taken up at the first offset from which a run of headers is plausible, and a record belongs to the stretch in
-whose blocks it starts.
+whose blocks it starts. With the option ``pushdown``, and Spark's setting for it, filters on mapq are tested first.
 """
 
 from __future__ import annotations
@@ -136,13 +136,6 @@ class BamReader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("stretch", 64 << 20))
         self.least: dict[str, int] = {}
 
-    def pushFilters(self, filters):
-        """Least mapping quality is tested before a record is taken apart; all filters are still applied after."""
-        for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)) and f.attribute == ("mapq",):
-                self.least["mapq"] = max(self.least.get("mapq", 0), int(f.value) + isinstance(f, GreaterThan))
-            yield f
-
     def partitions(self):
         files = sorted(glob.glob(f"{self.path}/**/*.bam", recursive=True)) if os.path.isdir(self.path) else [self.path]
         return [Stretch(p, at, at + self.size) for p in files for at in range(0, max(1, os.path.getsize(p)), self.size)]
@@ -200,6 +193,17 @@ class BamReader(DataSourceReader):
         return True
 
 
+class PushingBamReader(BamReader):
+    """A reader that is told of filters; Spark allows it where ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters):
+        """Least mapping quality is tested before a record is taken apart; all filters are still applied after."""
+        for f in filters:
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)) and f.attribute == ("mapq",):
+                self.least["mapq"] = max(self.least.get("mapq", 0), int(f.value) + isinstance(f, GreaterThan))
+            yield f
+
+
 class BamSource(DataSource):
     @classmethod
     def name(cls):
@@ -209,7 +213,8 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options)
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingBamReader if pushing else BamReader)(self.options)
 
 
 def record(row: dict, contigs: dict[str, int]) -> bytes:

@@ -22,20 +22,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
     lines = F.filter(F.split("value", "\r?\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
     rows = rows.where(~F.col("value").startswith("#")).select(lines.alias("lines")).where(F.size("lines") > 0)
-    return rows.select(F.col("lines")[0].alias("header"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("body"))
+    return rows.select(F.get("lines", F.lit(0)).alias("header"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("body"))
+
+
+def _cells(column: str, separator: str) -> list:
+    """Seven cells of a line, null where it is shorter."""
+    parts = F.split(column, separator)
+    return [F.get(parts, F.lit(i)) for i in range(7)]
 
 
 def _headers(records: DataFrame) -> DataFrame:
     h = F.split(F.trim("header"), r"\s+")
-    return records.select(h[0].alias("read_id"), h[1].alias("contig"), h[2].cast("int").alias("ref_start"), h[3].cast("int").alias("ref_end"), h[4].alias("strand"), "body")
+    cell = [F.get(h, F.lit(i)) for i in range(5)]
+    return records.select(cell[0].alias("read_id"), cell[1].alias("contig"), cell[2].cast("int").alias("ref_start"), cell[3].cast("int").alias("ref_end"), cell[4].alias("strand"), "body")
 
 
 def read_calls(spark: SparkSession, path: str, min_calls: int = 0) -> DataFrame:
     """Per-base calls: read header columns, idx, coord, p_edu, p_brdu, kmer (null where the file has none)."""
     reads = _headers(read_records(spark, path)).where(F.size("body") > min_calls)
     rows = reads.select("read_id", "contig", "ref_start", "ref_end", "strand", F.posexplode("body").alias("idx", "line"))
-    p = F.split("line", r"\s+")
-    return rows.select("read_id", "contig", "ref_start", "ref_end", "strand", "idx", p[0].cast("long").alias("coord"), p[1].cast("double").alias("p_edu"), p[2].cast("double").alias("p_brdu"), F.get(p, F.lit(3)).alias("kmer"))
+    p = _cells("line", r"\s+")
+    return rows.select("read_id", "contig", "ref_start", "ref_end", "strand", "idx", p[0].cast("long").alias("coord"), p[1].cast("double").alias("p_edu"), p[2].cast("double").alias("p_brdu"), p[3].alias("kmer"))
 
 
 def read_bounds(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
@@ -47,22 +54,22 @@ def read_bounds(spark: SparkSession, path: str, min_length: int = 0) -> DataFram
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
     """Segment text: read header columns, idx, coord, edu, brdu."""
     rows = _headers(read_records(spark, path)).select("read_id", "contig", "ref_start", "ref_end", "strand", F.posexplode("body").alias("idx", "line"))
-    p = F.split("line", r"\s+")
+    p = _cells("line", r"\s+")
     return rows.select("read_id", "contig", "ref_start", "ref_end", "strand", "idx", p[0].cast("long").alias("coord"), p[1].cast("int").alias("edu"), p[2].cast("int").alias("brdu"))
 
 
 def read_aligned(spark: SparkSession, path: str) -> DataFrame:
     """Event alignment text: coord, kmer_ref, signal, kmer_strand, model_mean, p_edu, p_brdu; insertions keep their Ns."""
     rows = _headers(read_records(spark, path)).select("read_id", "contig", "ref_start", "ref_end", "strand", F.posexplode("body").alias("idx", "line"))
-    p = F.split("line", "\t")
-    cells = [p[0].cast("long").alias("coord"), p[1].alias("kmer_ref"), p[2].cast("double").alias("signal"), p[3].alias("kmer_strand"), p[4].cast("double").alias("model_mean"), F.get(p, F.lit(5)).cast("double").alias("p_edu"), F.get(p, F.lit(6)).cast("double").alias("p_brdu")]
+    p = _cells("line", "\t")
+    cells = [p[0].cast("long").alias("coord"), p[1].alias("kmer_ref"), p[2].cast("double").alias("signal"), p[3].alias("kmer_strand"), p[4].cast("double").alias("model_mean"), p[5].cast("double").alias("p_edu"), p[6].cast("double").alias("p_brdu")]
     return rows.select("read_id", "contig", "ref_start", "ref_end", "strand", "idx", *cells)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, seq): the first word of a name, the sequence in upper case without white space."""
     rows = read_records(spark, path)
-    return rows.select(F.split(F.trim("header"), r"\s+")[0].alias("contig"), F.upper(F.regexp_replace(F.array_join("body", ""), r"\s+", "")).alias("seq"))
+    return rows.select(F.get(F.split(F.trim("header"), r"\s+"), F.lit(0)).alias("contig"), F.upper(F.regexp_replace(F.array_join("body", ""), r"\s+", "")).alias("seq"))
 
 
 def check_fasta(contigs: DataFrame) -> DataFrame:
