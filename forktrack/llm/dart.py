@@ -127,7 +127,10 @@ def nodes_of(docs: DataFrame, text_col: str):
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id) of every row; rows of one class are near-duplicates, linked at 0.8 or more."""
+    """(id, node, root, class_id) of every row; rows of one class are near-duplicates, linked at 0.8 or more.
+
+    ``root`` tells classes apart even where rows of several classes share an id; it is null for rows without words.
+    """
     spark = docs.sparkSession
     runtime.prepare(spark)
     buckets = runtime.partitions(spark)
@@ -164,15 +167,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = known.groupBy("node").agg(F.min("id").alias("id")).where("node is not null")
     rooted = runtime.stored(place.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
     least = runtime.stored(rooted.groupBy("root").agg(F.min("id").alias("class_id")), "class-ids")
-    named = runtime.stored(rooted.join(least, "root").select("node", "class_id"), "named")
-    return known.join(named, "node", "left").select(F.col("id").alias(id_col), "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    named = runtime.stored(rooted.join(least, "root").select("node", "root", "class_id"), "named")
+    return known.join(named, "node", "left").select(F.col("id").alias(id_col), "node", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the least id, and of rows that share it the first by text."""
     found = classes(docs, id_col, text_col)
     stay = runtime.stored(
-        found.where("node is not null").groupBy("class_id").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node")).select(F.col("class_id").alias("_class"), "_node"), "stay"
+        found.where("node is not null").groupBy("root", "class_id").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node")).select(F.col("class_id").alias("_class"), "_node"), "stay"
     )
     marked = docs.withColumn("_node", nodes_of(docs, text_col))
     ours = marked.where("_node is not null").alias("d")
