@@ -26,6 +26,8 @@ SKETCH = 512
 #: Odd 32-bit multipliers, one for each character of a shingle.
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Where an empty bin looks, attempt by attempt.
+_WALK = np.random.default_rng(6).integers(0, BINS, (48, BINS))
 
 
 def _shingle_hashes(cp: np.ndarray) -> np.ndarray:
@@ -56,19 +58,29 @@ def _line_shingles(lines: list[str]):
 
 
 def sign(lines: list[str]) -> np.ndarray:
-    """A 64-bit value for each band of one-permutation MinHash signatures, empty bins filled from the next full one."""
+    """A 64-bit value for each band of one-permutation MinHash signatures.
+
+    An empty bin takes the value of another bin, by a walk that is the same for all lines: first by hashed steps, so
+    that the bins of a band borrow from different ones, at last from the next full bin.
+    """
     best = np.full(len(lines) * BINS, _EMPTY)
     for owner, h in _line_shingles(lines):
         slot = owner * BINS + ((h.astype(U64) * U64(BINS)) >> U64(32)).astype(np.int64)
         np.minimum.at(best, slot, h * np.uint32(0x9E3779B1) >> np.uint32(1))
     grid = best.reshape(-1, BINS)
-    filled = grid.copy()
+    some = np.flatnonzero((grid == _EMPTY).any(1) & (grid != _EMPTY).any(1))
+    filled, full = grid[some], grid[some]
+    for step in _WALK:
+        gap = filled == _EMPTY
+        if not gap.any():
+            break
+        filled = np.where(gap, full[:, step], filled)
     for _ in range(2):
         for k in range(BINS - 1, -1, -1):
-            nxt = filled[:, (k + 1) % BINS]
-            gap = (filled[:, k] == _EMPTY) & (nxt != _EMPTY)
-            filled[gap, k] = nxt[gap] * np.uint32(0x85EBCA6B) + np.uint32(1)
-    cut = filled.reshape(-1, BANDS, ROWS).astype(U64)
+            gap = filled[:, k] == _EMPTY
+            filled[gap, k] = filled[gap, (k + 1) % BINS]
+    grid[some] = filled
+    cut = grid.reshape(-1, BANDS, ROWS).astype(U64)
     return textops.combine([np.broadcast_to(np.arange(BANDS, dtype=U64), (len(cut), BANDS)).ravel(), *(cut[:, :, r].ravel() for r in range(ROWS))]).reshape(-1, BANDS)
 
 
