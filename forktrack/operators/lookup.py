@@ -131,3 +131,13 @@ def sharded(reads: DataFrame, order: str, size: int = 300) -> DataFrame:
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     numbered = local.join(F.broadcast(before), "_part")
     return numbered.withColumn("shard", (F.floor((F.col("_before") + F.col("_at") - 1) / size) + 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def first_reads(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows of the first ``most`` reads by key: an exact limit, where a count of reads is asked for."""
+    return rows.join(F.broadcast(rows.select(key).distinct().orderBy(key).limit(most)), key, "left_semi")
+
+
+def by_file(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of one signal file in one task, so that a file is opened once."""
+    return rows.repartition(path).sortWithinPartitions(path)

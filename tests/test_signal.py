@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from forktrack.config import EventConfig, GmmConfig
-from forktrack.signal import align, events, model
+from forktrack.signal import align, events, model, ratios
 from forktrack.training import gmm
 
 
@@ -143,3 +143,30 @@ def test_mixture_and_model(spark):
     assert [g.kmer for g in got] == ["AAA"] and got[0].imported_events == 1000
     p = model.LogisticStub().predict(np.zeros(2), np.zeros(2), np.ones((2, 20)))
     assert p.shape == (2, 3) and p.sum(1) == pytest.approx([1, 1])
+
+
+def test_likelihood_ratios_tell_levels_apart(spark):
+    r = np.random.default_rng(6)
+    k = 3
+    low, sd = r.normal(0, 1, 4**k), np.full(4**k, 0.3)
+    high = low + 1.0
+    sequence = "".join("ATGC"[i] for i in r.integers(0, 4, 90))
+    idx = align.kmer_indexes(sequence, k)
+    t = align.Transitions.of(1.2, literal=False)
+    to_query, pairs = {i: i for i in range(91)}, [(i, i) for i in range(len(idx))]
+    # A signal has positive means; the scaling takes the offset away again.
+    run = lambda x: dict(ratios.likelihood_ratios(x + 90, pairs, to_query, sequence, (low, sd), (high, sd), align.Scaling(90.0, 1.0), t, half=6, k=k))
+    plain = run(low[idx])
+    assert list(plain) == [i for i in range(12, 78) if sequence[i] == "T"] and np.mean([v < 0 for v in plain.values()]) > 0.9
+    right = []
+    for place in plain:
+        x = low[idx].copy()
+        for i in range(place - 1, place + 2):
+            x[i] += "T" in sequence[i:i + k]
+        right.append(run(x)[place] > 0)
+    assert np.mean(right) > 0.9
+    x = np.concatenate([np.zeros(300), r.normal(0, 5, 700), np.zeros(250)])
+    start, end = ratios.trim_by_deviation(x)
+    assert (start, end) == (300, 1000)
+    rows = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([1, 2, 3, 4, 100])], "k string, i int, v double")
+    assert ratios.chunk_deviations(rows, "k", "i", "v").first().deviation == pytest.approx(1.4826)
