@@ -219,12 +219,15 @@ def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign:
     if open_entries.isEmpty():
         return roots
     drawn = texts.join(open_entries.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, sketch array<long>")
-    left = runtime.stored(open_entries.join(runtime.stored(drawn, "sketches"), "node"), "sketched")
-    right = left.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("sketch").alias("other_sketch"))
+    held = open_entries.groupBy("node").agg(F.collect_set("value").alias("values"))
+    left = runtime.stored(open_entries.join(runtime.stored(drawn.join(held, "node"), "sketches"), "node"), "sketched")
+    right = left.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("sketch").alias("other_sketch"), F.col("values").alias("other_values"))
     differing = F.lit(0)
     for k in range(coordinates // 64):
         differing = differing + F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("other_sketch")[k]))
-    ours = left.alias("l").join(right.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("root") < F.col("other_root")) & (differing <= most_differing(coordinates, threshold)))
+    # A pair that shares several values comes from the least of them alone.
+    once = F.array_min(F.array_intersect("values", "other_values")) == F.col("l.value")
+    ours = left.alias("l").join(right.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("root") < F.col("other_root")) & (differing <= most_differing(coordinates, threshold)) & once)
     across = ours.select(F.least("node", "other").alias("b"), F.greatest("node", "other").alias("a")).distinct()
     known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = runtime.stored(verified(across.join(known, ["a", "b"], "left_anti"), texts, similarity, threshold), "more-links")

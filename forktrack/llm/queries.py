@@ -9,7 +9,12 @@ from . import bpe, chroma, dart, decontam, labelled, lines, orc_tokens, quality,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one with fewer input splits than there are cores is dealt out, so that small files use them all."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "embeddings") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
