@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -21,6 +21,8 @@ BLOCKS = "bucket int, entries binary, links binary"
 BROADCAST_IDS = 500_000
 #: Edges that one task reduces at a time, about 100 MB of its memory.
 CHUNK_EDGES = 500_000
+#: Hubs of crowded band values that a node is compared with before components are known.
+HUBS = 3
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -28,19 +30,22 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: the place of each value's hub, and (node, hub) of the others.
+def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries: the place of each value's hub, and links (node, hub, hub's degree, whether over two share it).
 
     The hub is the node that shares most values with others: the text that copies were made from, if it is there,
     is nearer to each of them than they are to one another.
     """
     order = np.lexsort((nodes, -degree.astype(np.int64), values))
-    v, n = values[order], nodes[order]
+    v, n, d = values[order], nodes[order], degree[order].astype(U64)
     first = np.ones(len(v), bool)
     first[1:] = v[1:] != v[:-1]
-    hub = n[np.flatnonzero(first)][np.cumsum(first) - 1] if len(v) else n
-    rest = ~first & (n != hub)
-    return order[first], n[rest], hub[rest]
+    at = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    crowd = (np.diff(np.append(at, len(v))) > 2).astype(U64)
+    hub = at[group] if len(v) else at
+    rest = np.flatnonzero(~first & (n != n[hub])) if len(v) else at
+    return order[first], np.stack([n[rest], n[hub[rest]], d[hub[rest]], crowd[group[rest]]], 1) if len(rest) else np.zeros((0, 4), U64)
 
 
 def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -52,9 +57,9 @@ def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
     nodes, values = np.repeat(nodes, width), values.ravel()
     _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
     degree = np.repeat(np.add.reduceat(count[inverse], np.arange(0, len(values), width)) if len(values) else count, width).astype(np.uint32)
-    keep, a, b = _stars(values, nodes, degree)
+    keep, found = _stars(values, nodes, degree)
     values, nodes, degree = values[keep], nodes[keep], degree[keep]
-    pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), U64)
+    found = np.unique(found, axis=0)
     spread = (values % U64(buckets)).astype(np.int64)
     order = np.argsort(spread, kind="stable")
     cut = np.searchsorted(spread[order], np.arange(buckets + 1))
@@ -62,26 +67,36 @@ def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
     entries = [values[i].tobytes() + nodes[i].tobytes() + degree[i].astype("<u4").tobytes() for _, i in rows]
     links = [b""] * len(rows)
     if rows:
-        links[0] = pairs.tobytes()
+        links[0] = found.tobytes()
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array(entries, pa.binary()), pa.array(links, pa.binary())], ["bucket", "entries", "links"])
 
 
 def _link(table: pa.Table) -> pa.Table:
-    values, nodes, degree, pairs = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros((0, 2), U64)]
+    values, nodes, degree, found = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros((0, 4), U64)]
     for entries, links in zip(table.column("entries").to_pylist(), table.column("links").to_pylist()):
         n = len(entries) // 20
         values.append(np.frombuffer(entries, U64, n))
         nodes.append(np.frombuffer(entries, U64, n, 8 * n))
         degree.append(np.frombuffer(entries, "<u4", n, 16 * n))
-        pairs.append(np.frombuffer(links, U64).reshape(-1, 2))
-    _, a, b = _stars(np.concatenate(values), np.concatenate(nodes), np.concatenate(degree))
-    every = np.unique(np.concatenate([*pairs, np.stack([a, b], 1)]), axis=0)
-    return pa.table({"a": pa.array(every[:, 0].view(np.int64)), "b": pa.array(every[:, 1].view(np.int64))})
+        found.append(np.frombuffer(links, U64).reshape(-1, 4))
+    found.append(_stars(np.concatenate(values), np.concatenate(nodes), np.concatenate(degree))[1])
+    every = np.unique(np.concatenate(found), axis=0).view(np.int64)
+    return pa.table({"a": pa.array(every[:, 0]), "b": pa.array(every[:, 1]), "degree": pa.array(every[:, 2]), "crowd": pa.array(every[:, 3])})
 
 
 def candidates(blocks: DataFrame) -> DataFrame:
-    """Distinct (a, b): nodes that share a band value, each with one representative of those that share it."""
-    return blocks.groupBy("bucket").applyInArrow(_link, "a long, b long").distinct()
+    """Distinct (a, b, degree, crowd): nodes that share a band value, each with the hub of those that share it.
+
+    ``crowd`` is 0 if the two were alone with the value, wherever they met over it.
+    """
+    found = blocks.groupBy("bucket").applyInArrow(_link, "a long, b long, degree long, crowd long")
+    return found.groupBy("a", "b").agg(F.max("degree").alias("degree"), F.min("crowd").alias("crowd"))
+
+
+def first_compared(found: DataFrame) -> DataFrame:
+    """(a, b) that are compared at once: pairs that were alone, and of crowds each node with its ``HUBS`` greatest hubs."""
+    rank = F.row_number().over(Window.partitionBy("a", "crowd").orderBy(F.desc("degree"), "b"))
+    return found.withColumn("rank", rank).where((F.col("crowd") == 0) | (F.col("rank") <= HUBS)).select("a", "b")
 
 
 def jaccard(n: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
@@ -184,14 +199,15 @@ def most_differing(coordinates: int, threshold: float, sigmas: float = 4.0) -> i
 def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign: Callable[[list[str]], np.ndarray], similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float, sketch: Callable[[list[str]], np.ndarray], coordinates: int) -> DataFrame:
     """(node, root) of the nodes that are linked to others.
 
-    First each node is compared with the hub of each of its band values. Then, where nodes of one band value are
+    First each node is compared with the hubs of its band values, the greatest few where many share one. Then, where nodes of one band value are
     still in different components, all such pairs across components are compared, so that a pair that no hub
     connects isn't lost: their bit sketches in the join's condition, which lets through what could be similar
     enough, then their texts. ``texts_of(nodes)`` gives (node, text), once for each node; ``sketch`` gives words of
     ``coordinates`` bits.
     """
-    pairs = runtime.stored(candidates(blocks), "pairs")
-    nodes = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    found = runtime.stored(candidates(blocks), "candidates")
+    pairs = runtime.stored(first_compared(found), "pairs")
+    nodes = runtime.stored(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = runtime.stored(texts_of(nodes), "texts")
     edges = runtime.stored(verified(pairs, texts, similarity, threshold), "links")
     roots = runtime.stored(components(edges), "roots")
