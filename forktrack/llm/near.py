@@ -31,9 +31,9 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries: the place of each value's hub, and links (node, hub, hub's degree, whether over two share it).
+    """Of entries: the place of each value's hub, and links (node, hub, hub's degree, whether over two nodes share it).
 
-    The hub is the node that shares most values with others: the text that copies were made from, if it is there,
+    A node may have several entries of a value and counts once. The hub is the node that shares most values with others: the text that copies were made from, if it is there,
     is nearer to each of them than they are to one another.
     """
     order = np.lexsort((nodes, -degree.astype(np.int64), values))
@@ -42,10 +42,13 @@ def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[n
     first[1:] = v[1:] != v[:-1]
     at = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    crowd = (np.diff(np.append(at, len(v))) > 2).astype(U64)
-    hub = at[group] if len(v) else at
-    rest = np.flatnonzero(~first & (n != n[hub])) if len(v) else at
-    return order[first], np.stack([n[rest], n[hub[rest]], d[hub[rest]], crowd[group[rest]]], 1) if len(rest) else np.zeros((0, 4), U64)
+    if not len(v):
+        return order, np.zeros((0, 4), U64)
+    hub = at[group]
+    other = n != n[hub]
+    crowd = (np.minimum.reduceat(np.where(other, n, ~U64(0)), at) < np.maximum.reduceat(np.where(other, n, U64(0)), at)).astype(U64)
+    rest = np.flatnonzero(other)
+    return order[first], np.stack([n[rest], n[hub[rest]], d[hub[rest]], crowd[group[rest]]], 1)
 
 
 def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -229,7 +232,7 @@ def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign:
 
     entries = texts.select("node", "text").mapInArrow(run, "node long, value long")
     entries = runtime.stored(entries.join(roots, "node", "left").select("node", "value", F.coalesce("root", "node").alias("root")), "entries")
-    # Two nodes of one value have been compared; a third may not have been compared with both.
+    # The only two nodes of a value have been compared, wherever they met; a third may not have been compared with both.
     mixed = entries.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("value")
     open_entries = runtime.stored(entries.join(runtime.stored(mixed, "mixed"), "value"), "open-entries")
     if open_entries.isEmpty():

@@ -303,6 +303,26 @@ def test_union_find_within_and_across_chunks(spark, monkeypatch):
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_two_nodes_of_a_value_are_compared_however_often_they_occur(spark):
+    fresh = iter(range(1000, 10_000))
+    rows = []  # (node, its four band values)
+    x, y = 100, 50
+    shared, own = [1, 2, 3], [11, 12, 13]
+    rows += [(x, [9, *own])] * 2 + [(y, [9, *shared])]
+    rows += [(next(fresh), [v, *(next(fresh) for _ in range(3))]) for v in own for _ in range(8)]
+    for hub, v in zip((1, 2, 3), shared):  # three hubs of higher degree than x share crowded values with y
+        wide = [next(fresh) for _ in range(3)]
+        rows += [(hub, [v, *wide])] + [(next(fresh), [v, *(next(fresh) for _ in range(3))]) for _ in range(4)]
+        rows += [(next(fresh), [next(fresh), *wide]) for _ in range(20)]
+    together = [rows]
+    apart = [[(x, [9, *own])], [(x, [9, *own])], rows[2:]]  # y's batch lacks x, which two others have
+    for batches in (together, apart):
+        blocks = [b for part in batches for b in near.pack(np.array([v for _, v in part], np.uint64), np.array([n for n, _ in part], np.uint64), 2).to_pylist()]
+        table = spark.createDataFrame([(b["bucket"], bytearray(b["entries"]), bytearray(b["links"])) for b in blocks], near.BLOCKS)
+        found = near.first_compared(near.candidates(table)).collect()
+        assert (x, y) in {(max(r.a, r.b), min(r.a, r.b)) for r in found}
+
+
 def test_fuzzy_lines_match_brute_force(spark, odd, none):
     r = random.Random(9)
     vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(2000)]
