@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import os
 import random
 import re
@@ -230,6 +231,25 @@ def test_ftrl_learns_and_stays_sparse():
     assert ((p >= 0.5).astype(int) == marks).all() and 0 < len(model.features) < 200
 
 
+def exact_space(texts):
+    """A latent space with an axis for each word of the texts, all of one weight; it loses nothing."""
+    slots = np.unique(decontam._buckets(textops.hashed_words(texts)[0]))
+    basis = np.zeros((decontam.BUCKETS, len(slots)), np.float32)
+    basis[slots, np.arange(len(slots))] = 1
+    return decontam.Space(np.ones(decontam.BUCKETS), basis)
+
+
+def found_by_default(docs, items):
+    limits = {k: inspect.signature(decontam.leaks).parameters[k].default for k in ("cosine", "cover", "paraphrase")}
+    space = exact_space(docs + items)
+    return {(t, i): part for t, i, _, _, part in decontam.search(docs, space, decontam._item_block([(i, x, None) for i, x in enumerate(items)], space), **limits)}
+
+
+def test_a_short_item_is_found_in_a_window_of_other_words():
+    words = [f"w{k}" for k in range(64)]
+    assert (0, 0) in found_by_default([" ".join(words)], [" ".join(words[20:35])])
+
+
 # 6 and 8: near-duplicates
 
 
