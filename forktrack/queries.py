@@ -471,18 +471,24 @@ def _model_rows(spark, sf_dir, names: str, each):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, names)
 
 
+def _levels(x, low: float, high: float, least: int):
+    """Evenly spaced levels, one for every two values of a signal, ``least`` at least, and their deviations."""
+    n = max(least, -(-len(x) // 2))
+    return np.linspace(low, high, n), np.full(n, 0.2)
+
+
 def hmm_forward(spark, sf_dir):
     """Log likelihood ratio of two level models for every signal."""
-    t, low, high, sd = align.Transitions.of(1.5, literal=False), np.linspace(-0.3, 0.3, 12), np.linspace(-0.2, 0.4, 12), np.full(12, 0.2)
-    return _model_rows(spark, sf_dir, "vec_id long, log_ratio double", lambda x: (round(align.log_likelihood_ratio(x[:24], (low, sd), (high, sd), t), 6),))
+    t = align.Transitions.of(1.5, literal=False)
+    return _model_rows(spark, sf_dir, "vec_id long, log_ratio double", lambda x: (round(align.log_likelihood_ratio(x, _levels(x, -0.3, 0.3, 12), _levels(x, -0.2, 0.4, 12), t), 6),))
 
 
 def viterbi(spark, sf_dir):
-    """Best path of every signal through twelve bases: score and states."""
-    t, mean, sd = align.Transitions.of(1.5, literal=False), np.linspace(-0.3, 0.3, 12), np.full(12, 0.2)
+    """Best path of every signal through a base for every two values: score and states."""
+    t = align.Transitions.of(1.5, literal=False)
 
     def each(x):
-        score, path = align.viterbi(x[:24], mean, sd, t)
+        score, path = align.viterbi(x, *_levels(x, -0.3, 0.3, 12), t)
         return round(score, 6), float(sum(s == "M" for _, s in path)), float(sum(s == "D" for _, s in path))
 
     return _model_rows(spark, sf_dir, "vec_id long, score double, matches double, deletions double", each)
@@ -490,10 +496,9 @@ def viterbi(spark, sf_dir):
 
 def banded_align(spark, sf_dir):
     """Banded alignment of every signal to its own shape."""
-    mean, sd = np.linspace(-0.3, 0.3, 20), np.full(20, 0.2)
 
     def each(x):
-        got = align.banded_alignment(x[:40], mean, sd, align.Scaling(0.0, 1.0))
+        got = align.banded_alignment(x, *_levels(x, -0.3, 0.3, 20), align.Scaling(0.0, 1.0))
         return round(got.average_log, 6), float(len(got.pairs)), float(got.longest_gap)
 
     return _model_rows(spark, sf_dir, "vec_id long, average_log double, pairs double, longest_gap double", each)

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as registry
 from forktrack import queries as domain
+from forktrack.signal import align
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -48,3 +50,24 @@ def test_query_runs(spark, name):
 def test_registry(spark):
     assert set(domain.queries()) <= set(registry.queries()) and set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.entry(spark).count() > 0
+
+
+def test_signal_queries_read_whole_signals(spark, tmp_path):
+    """Against the operators on whole signals, which test_signal.py holds against brute force."""
+    r = np.random.default_rng(7)
+    one = r.normal(0, 0.2, 64)
+    two = np.concatenate([one[:40], r.normal(0, 0.2, 24)])
+    rows = [(1, one.tolist()), (2, two.tolist()), (3, one[:10].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {name: {x.vec_id: tuple(x)[1:] for x in domain.queries()[name](spark, str(tmp_path)).collect()} for name in ("hmm_forward", "viterbi", "banded_align")}
+    t = align.Transitions.of(1.5, literal=False)
+    for i, x in rows:
+        x = np.array(x)
+        n, m = max(12, len(x) // 2), max(20, len(x) // 2)
+        low, high, sd, mean = np.linspace(-0.3, 0.3, n), np.linspace(-0.2, 0.4, n), np.full(n, 0.2), np.linspace(-0.3, 0.3, m)
+        assert got["hmm_forward"][i][0] == pytest.approx(align.forward(x, high, sd, t) - align.forward(x, low, sd, t), abs=1e-5)
+        score, path = align.viterbi(x, low, sd, t)
+        assert got["viterbi"][i] == pytest.approx((score, sum(s == "M" for _, s in path), sum(s == "D" for _, s in path)), abs=1e-5)
+        band = align.banded_alignment(x, mean, np.full(m, 0.2), align.Scaling(0.0, 1.0))
+        assert got["banded_align"][i] == pytest.approx((band.average_log, len(band.pairs), band.longest_gap), abs=1e-5)
+    assert all(found[1] != found[2] for found in got.values())
