@@ -250,6 +250,20 @@ def test_a_short_item_is_found_in_a_window_of_other_words():
     assert (0, 0) in found_by_default([" ".join(words)], [" ".join(words[20:35])])
 
 
+@pytest.mark.parametrize("n", [65, 240, 400, 1000])
+@pytest.mark.parametrize("before", [0, 51, 300])
+def test_long_items_are_found_whole(n, before):
+    item, other = [f"w{k}" for k in range(n)], [f"o{k}" for k in range(400)]
+    docs = [" ".join([*other[:before], *item, *other[before:]]), " ".join(other), " ".join(item)]
+    got = found_by_default(docs, ["x y z", " ".join(item), "u v"])
+    assert set(got) == {(0, 1), (2, 1)} and min(got.values()) > 0.999
+
+
+def test_blocks_of_items_are_bounded_in_words():
+    assert decontam._block_bounds([10] * 5, 2) == [(0, 2), (2, 4), (4, 5)]
+    assert decontam._block_bounds([500, 10, 10, 200], 2) == [(0, 1), (1, 3), (3, 4)] and decontam._block_bounds([], 2) == []
+
+
 # 6 and 8: near-duplicates
 
 
