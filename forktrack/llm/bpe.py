@@ -102,9 +102,8 @@ class Batch:
         self.keys: list[str | None] = []
         self.lengths: list[np.ndarray] = []
         self.codes: list[np.ndarray] = []
-        self.known: dict[int, int] = {}
-        self.words: list[bytes] = []
-        self.second = array("Q")
+        self.known: dict[bytes, int] = {}
+        self.hashes = array("Q")
         self.chars = 0
 
     def add(self, keys: list, texts: list[str | None]) -> None:
@@ -116,27 +115,40 @@ class Batch:
             if not len(s):
                 continue
             lengths += np.bincount(textops.owners(s, seg, of), minlength=len(texts))
-            first, second = textops.span_hashes(cp, s, e), textops.span_hashes(cp, s, e, textops.BASE_B)
-            names, place, inverse = np.unique(first, return_index=True, return_inverse=True)
-            code = np.fromiter((self.known.get(k, -1) for k in names.tolist()), np.int64, len(names))
-            new = np.flatnonzero(code < 0)
-            code[new] = len(self.words) + np.arange(len(new))
-            self.known.update(zip(names[new].tolist(), code[new].tolist()))
-            self.words += _new_words(cp, s[place[new]], e[place[new]])
-            self.second.extend(second[place[new]].tolist())
-            if not np.array_equal(np.frombuffer(self.second, np.uint64)[code][inverse], second):
-                raise ValueError("two words share a 64-bit hash")
-            self.codes.append(code[inverse].astype(np.uint32))
+            self.codes.append(self._coded(cp, s, e))
         self.lengths.append(lengths)
 
+    def _coded(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Codes of words, told apart by their bytes: a hash only finds the likely equals, which are then compared."""
+        names, place, inverse = np.unique(textops.span_hashes(cp, s, e), return_index=True, return_inverse=True)
+        shown, size = place[inverse], e - s
+        unlike = size != size[shown]
+        n = np.where(unlike, 0, size)
+        differ = cp[_spread(s, n)] != cp[_spread(s[shown], n)]
+        unlike[np.repeat(np.arange(len(n)), n)[differ]] = True
+        code = self._codes(_new_words(cp, s[place], e[place]), names)[inverse]
+        odd = np.flatnonzero(unlike)
+        if len(odd):
+            code[odd] = self._codes(_new_words(cp, s[odd], e[odd]), names[inverse[odd]])
+        return code
+
+    def _codes(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        known, before = self.known, len(self.known)
+        code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+        new = np.flatnonzero(code >= before)
+        _, first = np.unique(code[new], return_index=True)
+        self.hashes.extend(hashes[new[first]].tolist())
+        return code
+
     def rows(self, number: int, buckets: int):
         """A row of all codes, then a block of words for each bucket that has some.
 
         The commonest words have the lowest codes, told in their blocks; others are numbered block by block.
         """
         codes = np.concatenate([np.zeros(0, np.uint32), *self.codes])
-        n = len(self.words)
-        spread = (np.fromiter(self.known.keys(), np.uint64, n) % np.uint64(buckets)).astype(np.int64)
+        words = list(self.known)
+        n = len(words)
+        spread = (np.array(self.hashes, np.uint64) % np.uint64(buckets)).astype(np.int64)
         common = np.argsort(-np.bincount(codes, minlength=n), kind="stable")[:_FEW]
         rank = np.full(n, -1, np.int64)
         rank[common] = np.arange(len(common))
@@ -151,7 +163,7 @@ class Batch:
             if len(own):
                 told = rank[own[rank[own] < len(common)]]
                 base = rank[own[len(told)]] if len(told) < len(own) else 0
-                block = [self.words[i] for i in own.tolist()]
+                block = [words[i] for i in own.tolist()]
                 yield k, number, k, _pack_sizes(np.fromiter(map(len, block), np.int64, len(block))), _zip(b"".join(block)), np.array([len(told), base], "<u4").tobytes() + told.astype("<u2").tobytes(), None
 
 
@@ -213,7 +225,7 @@ def _explode(buckets: int, batch_chars: int):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(keys), 64):
                 held.add(keys[at:at + 64], texts[at:at + 64])
-                if held.chars >= batch_chars or len(held.words) >= BATCH_WORDS:
+                if held.chars >= batch_chars or len(held.known) >= BATCH_WORDS:
                     yield table(held.rows(number, buckets))
                     number, held = number + 1, Batch()
         if held.keys:
@@ -296,18 +308,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    buckets = runtime.partitions(spark)
+    buckets = runtime.buckets(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
-    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_explode(buckets, batch_chars), _PACKED)
-    words = packed.repartition(buckets, "bucket").mapInArrow(_encode_words(ranks_path), _PACKED)
+    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(runtime.lean(_explode(buckets, batch_chars)), _PACKED)
+    words = packed.repartition(buckets, "bucket").mapInArrow(runtime.lean(_encode_words(ranks_path)), _PACKED)
     by_batch = words.drop("bucket").groupBy("batch")
     if digest:
-        done = by_batch.applyInArrow(lambda rows: _digest(_assemble(rows), ranks_path), "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        done = by_batch.applyInArrow(_digested(ranks_path), "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     else:
         done = by_batch.applyInArrow(_assemble, "id string, ids binary")
     return done.select(F.col("id").cast(id_type).alias(id_col), *done.columns[1:])
 
 
+def _digested(ranks_path: str):
+    def run(rows: pa.Table) -> pa.Table:
+        out = _digest(_assemble(rows), ranks_path)
+        runtime.release()
+        return out
+
+    return run
+
+
 def decode_ids(ids: bytes, ranks_path: str) -> bytes:
     return bytes(take_bytes(token_table(ranks_path), np.frombuffer(ids, "<u4")))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import bpe, runtime
 
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 3_000_000
+MEMO_WORDS = 300_000
 END_ID = 0
 
 
@@ -41,31 +42,27 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.first, self.count, self.flat = array("q"), array("q"), array("I")
 
     def encode(self, word: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
 
-    def lookup(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first place in ``flat``, number of ids) of each word; ``keys`` are the words' hashes."""
-        if len(self.keys) > MEMO_WORDS:
+    def lookup(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word in ``first`` and ``count``, which say where in ``flat`` its ids are and how many."""
+        if len(self.place) > MEMO_WORDS:
             self.forget()
-        place = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        hit[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            got = [self.encode(words[i]) for i in new.tolist()]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            first = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))])
-            every = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(every, kind="stable")
-            self.keys = every[order]
-            self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, n])[order]
-            place = np.searchsorted(self.keys, keys)
-        return self.first[place], self.count[place]
+        out = []
+        for word in words:
+            at = self.place.get(word)
+            if at is None:
+                at = self.place[word] = len(self.first)
+                ids = self.encode(word)
+                self.first.append(len(self.flat))
+                self.count.append(len(ids))
+                self.flat.extend(ids)
+            out.append(at)
+        return np.array(out, np.int64)
 
 
 @functools.cache
@@ -78,10 +75,11 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     held = bpe.Batch()
     held.add([None] * len(texts), texts)
     memo = _word_ids(path)
-    first, count = memo.lookup(np.fromiter(held.known.keys(), np.uint64, len(held.words)), held.words)
+    place = memo.lookup(list(held.known))
+    first, count, flat = np.array(memo.first, np.int64)[place], np.array(memo.count, np.int64)[place], np.frombuffer(memo.flat, np.uint32) if memo.flat else np.zeros(0, np.uint32)
     codes = np.concatenate([np.zeros(0, np.uint32), *held.codes])
     n = count[codes]
-    flat = memo.flat[bpe._spread(first[codes], n)]
+    flat = flat[bpe._spread(first[codes], n)]
     at = np.cumsum(np.concatenate([[0], n]))[np.cumsum(np.concatenate([[0], *held.lengths]).astype(np.int64))]
     return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
@@ -104,9 +102,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
                 at += int(ends[-1])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(runtime.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(runtime.buckets(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(run, f"doc_id {id_type}, part int, local_start long, n_tokens long, ids array<int>").write
+        ordered.mapInArrow(runtime.lean(run), f"doc_id {id_type}, part int, local_start long, n_tokens long, ids array<int>").write
         .option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_stride)
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
         .orc(path)

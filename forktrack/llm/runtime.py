@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _RUNS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``; a local one only where that setting is absent."""
+    """This application's folder under ``spark.checkpoint.dir``; without that setting a local one, if Spark is local."""
     app = spark.sparkContext.applicationId
     if app not in _RUNS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="forktrack-")
             atexit.register(shutil.rmtree, base[len("file://"):], ignore_errors=True)
         _RUNS[app] = f"{base.rstrip('/')}/forktrack-{uuid.uuid4().hex}"
@@ -36,20 +42,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, outlives executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    release()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
 
 
-def prepare(spark: SparkSession, rows: int = 512) -> None:
-    """Let workers import this package wherever they run, and bound what one Arrow batch of texts may hold.
+def prepare(spark: SparkSession, batch_mb: int = 4) -> None:
+    """Let workers import this package wherever they run, and bound the bytes that one Arrow batch of texts may hold.
 
-    A bound that the user has set stays.
+    A bound that the user has set stays; rows are not bounded, so other queries see no difference.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+    _allocator()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") == "1":
+        spark.conf.set(key, str(batch_mb << 20))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -69,6 +77,51 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def buckets(df: DataFrame) -> int:
+    """Groups to deal out what is made from ``df``: the session's number, or its input splits if there are more."""
+    return max(partitions(df.sparkSession), df.rdd.getNumPartitions())
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a column that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@functools.cache
+def _allocator():
+    """The C library, told once to map large blocks, which go back to the system when they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give memory that Python and Arrow have freed back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if libc := _allocator():
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches that leaves no freed memory with its worker when a task ends."""
+
+    def bounded(batches):
+        _allocator()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return bounded
+
+
 class FileStore:
     """Create, size and range-read files by URI: local paths directly, other schemes through ``pyarrow.fs``."""
 
