@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from . import near, runtime, textops
 U64 = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
-SKETCH = 2048
+#: Bits of a document's odd sketch.
+ODD = 1024
 _BATCH = 256
 
 
@@ -93,20 +95,33 @@ def sign(texts: list[str | None]) -> np.ndarray:
     return bands(dart_signature(len(texts), *weighted_shingles(texts), BANDS * ROWS))
 
 
-def sketch(texts: list[str | None]) -> np.ndarray:
-    """A bit of each coordinate of a longer signature."""
-    return near.bits(dart_signature(len(texts), *weighted_shingles(texts), SKETCH))
+def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, element) of all texts, by text; the nth occurrence of a shingle is an element of its own."""
+    owner, element, count = weighted_shingles(texts)
+    times = count.astype(np.int64)
+    turn = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(owner, times), np.repeat(element, times) + turn.astype(U64) * U64(textops.BASE_B)
 
 
 def node_ids(texts: list[str | None]) -> list[int | None]:
     """64-bit hash of each text's lower-cased words in order; None for a text without words."""
-    h, bounds = textops.hashed_words(texts)
-    n = np.diff(bounds)
-    power = textops._powers(textops.BASE_B, int(n.max(initial=0)) + 1)[0]
-    place = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(h * power[place])])
-    ids = textops.mix64(total[bounds[1:]] - total[bounds[:-1]] + n.astype(U64)).view(np.int64)
-    return [i if k else None for i, k in zip(ids.tolist(), n.tolist())]
+    digest, some = [xxhash.xxh3_64() for _ in texts], [False] * len(texts)
+    for cp, seg, owner in textops.chunks(texts, lower=True):
+        s, e = textops.words(cp)
+        # The characters of words, and a space after each.
+        step = np.zeros(len(cp) + 2, np.int8)
+        step[s] = 1
+        step[e + 1] -= 1
+        keep = np.cumsum(step[:len(cp)]).astype(bool)
+        shown = cp.copy()
+        shown[e] = 0x20
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        data = shown[keep].astype("<u4").tobytes()
+        for a, b, of in zip(kept[seg].tolist(), kept[np.append(seg[1:], len(cp))].tolist(), owner.tolist()):
+            if a < b:
+                digest[of].update(data[4 * a:4 * b])
+                some[of] = True
+    return [int(np.uint64(d.intdigest()).astype(np.int64)) if k else None for d, k in zip(digest, some)]
 
 
 def similarity(left: list[str | None], right: list[str | None]) -> np.ndarray:
@@ -133,7 +148,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    buckets = runtime.partitions(spark)
+    buckets = runtime.buckets(docs)
     known = runtime.stored(docs.select(F.col(id_col).alias("id"), nodes_of(docs, text_col).alias("node")), "doc-nodes")
 
     def run(batches):
@@ -157,13 +172,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def texts_of(nodes: DataFrame) -> DataFrame:
         first = known.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
         wanted = runtime.stored(first.join(nodes, "node", "left_semi"), "wanted")
-        ids = near.few(wanted.select(F.col("id").alias("_want")).distinct(), wanted.count())
-        some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("_want")), "left_semi")
+        ids = near.few(wanted.select(F.col("id").alias("want")).distinct(), wanted.count())
+        some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
         marked = some.withColumn("node", nodes_of(some, "text")).where("node is not null")
         return marked.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
 
-    blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(run, near.BLOCKS)
-    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, sketch, SKETCH)
+    blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(runtime.lean(run), near.BLOCKS)
+    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, elements, ODD)
     place = known.groupBy("node").agg(F.min("id").alias("id")).where("node is not null")
     rooted = runtime.stored(place.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
     least = runtime.stored(rooted.groupBy("root").agg(F.min("id").alias("class_id")), "class-ids")
@@ -173,13 +188,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the least id, and of rows that share it the first by text."""
-    found = classes(docs, id_col, text_col)
-    stay = runtime.stored(
-        found.where("node is not null").groupBy("root", "class_id").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node")).select(F.col("class_id").alias("_class"), "_node"), "stay"
-    )
-    marked = docs.withColumn("_node", nodes_of(docs, text_col))
-    ours = marked.where("_node is not null").alias("d")
-    right = stay.alias("s")
-    ours = ours.join(right, (F.col("d._node") == F.col("s._node")) & F.col(f"d.{id_col}").eqNullSafe(F.col("s._class")), "left_semi")
-    ours = ours.dropDuplicates([id_col, "_node"])
-    return ours.unionByName(marked.where("_node is null")).drop("_node")
+    found = classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    stands = F.min(F.when(F.col("id").eqNullSafe(F.col("class_id")), F.col("node")))
+    node = runtime.spare(docs, "node")
+    stay = runtime.stored(found.where("node is not null").groupBy("root", "class_id").agg(stands.alias(node)).select(F.col("class_id").alias("stays"), node), "stay")
+    marked = docs.withColumn(node, nodes_of(docs, text_col))
+    ours, right = marked.where(F.col(node).isNotNull()).alias("d"), stay.alias("s")
+    ours = ours.join(right, (F.col(f"d.{node}") == F.col(f"s.{node}")) & F.col(f"d.{id_col}").eqNullSafe(F.col("s.stays")), "left_semi")
+    ours = ours.dropDuplicates([id_col, node])
+    return ours.unionByName(marked.where(F.col(node).isNull())).drop(node)

@@ -16,13 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import dart, near, runtime, textops
+from . import near, runtime, textops
 
 U64 = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 6
 BINS = BANDS * ROWS
-SKETCH = 512
+#: Bits of a line's odd sketch.
+ODD = 512
 #: Odd 32-bit multipliers, one for each character of a shingle.
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -106,12 +107,11 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def sketch(lines: list[str]) -> np.ndarray:
-    """A bit of each coordinate of a signature by darts on the shingle set, every shingle of weight one."""
+def elements(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line index, shingle) of all lines, by line, each shingle once."""
     owner, item = (np.concatenate(x) for x in zip(*([(np.zeros(0, np.int64), np.zeros(0, np.uint32))] + list(_line_shingles(lines)))))
     key = np.unique(owner.astype(U64) << U64(32) | item.astype(U64))
-    owner, item = (key >> U64(32)).astype(np.int64), key & U64(0xFFFFFFFF)
-    return near.bits(dart.dart_signature(len(lines), owner, item, np.ones(len(owner)), SKETCH))
+    return (key >> U64(32)).astype(np.int64), key & U64(0xFFFFFFFF)
 
 
 def split(text: str | None) -> list[str]:
@@ -173,14 +173,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runtime.prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = rows.select("text").mapInArrow(_blocks(runtime.partitions(spark), batch_chars), near.BLOCKS)
+    blocks = rows.select("text").mapInArrow(runtime.lean(_blocks(runtime.buckets(rows), batch_chars)), near.BLOCKS)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = near.few(nodes, nodes.count())
-        return rows.mapInArrow(_lines(True), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return rows.mapInArrow(runtime.lean(_lines(True)), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, sketch, SKETCH)
-    places = runtime.stored(rows.mapInArrow(_lines(False), f"id {id_type}, line int, node long"), "places")
+    roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, elements, ODD)
+    places = runtime.stored(rows.mapInArrow(runtime.lean(_lines(False)), f"id {id_type}, line int, node long"), "places")
     known = near.few(roots, roots.count())
     rooted = places.join(known, "node", "left").select("id", "line", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -191,7 +191,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that duplicate an earlier one removed from their texts; all rows and columns stay."""
-    lost = runtime.stored(duplicates(docs, id_col, text_col).select(F.col("id").alias("_lost_id"), F.col("lines").alias("_lost")), "lost-lines")
+    whose, gone = runtime.spare(docs, "lost_id"), runtime.spare(docs, "lost_lines")
+    lost = runtime.stored(duplicates(docs, id_col, text_col).select(F.col("id").alias(whose), F.col("lines").alias(gone)), "lost-lines")
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -201,9 +202,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out.append("\n".join(t for k, t in enumerate(value.split("\n")) if k not in drop) if drop and value is not None else value)
         return pa.array(out, pa.string())
 
-    joined = docs.join(near.few(lost, lost.count()), docs[id_col].eqNullSafe(F.col("_lost_id")), "left")
-    kept = joined.withColumn("_kept", F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_lost"))))
-    return kept.select(*[F.col("_kept").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    joined = docs.join(near.few(lost, lost.count()), docs[id_col].eqNullSafe(F.col(whose)), "left")
+    kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(gone)))
+    return joined.select(*[kept.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def report(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,14 +6,16 @@ are combined within a task before they move, so a value that a third of all rows
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import runtime, textops
 
 U64 = np.uint64
 BLOCKS = "bucket int, entries binary, links binary"
@@ -33,8 +35,8 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of entries: the place of each value's hub, and links (node, hub, hub's degree, whether over two nodes share it).
 
-    A node may have several entries of a value and counts once. The hub is the node that shares most values with others: the text that copies were made from, if it is there,
-    is nearer to each of them than they are to one another.
+    A node may have several entries of a value and counts once. The hub is the node that shares most values with
+    others: the text that copies were made from, if it is there, is nearer to each than they are to one another.
     """
     order = np.lexsort((nodes, -degree.astype(np.int64), values))
     v, n, d = values[order], nodes[order], degree[order].astype(U64)
@@ -104,22 +106,17 @@ def first_compared(found: DataFrame) -> DataFrame:
 
 def jaccard(n: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
     """Similarity of ``n`` pairs of (pair index, element) collections: of their counts if weighted, else of their sets."""
-    owner, item = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-    side = np.repeat([0, 1], [len(left[0]), len(right[0])])
-    order = np.lexsort((side, item, owner))
-    owner, item, side = owner[order], item[order], side[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
-    start = np.flatnonzero(new)
-    if not len(start):
-        return np.zeros(n)
-    ones = np.add.reduceat(side, start)
-    zeros = np.diff(np.append(start, len(owner))) - ones
+    room = U64(max(1, (max(n, 1) - 1).bit_length()))
+    away = U64(64) - room
+    (a, na), (b, nb) = (np.unique(owner.astype(U64) << away | item >> room, return_counts=True) for owner, item in (left, right))
     if not weighted:
-        ones, zeros = np.minimum(ones, 1), np.minimum(zeros, 1)
-    both = np.bincount(owner[start], np.minimum(ones, zeros), n)
-    either = np.bincount(owner[start], np.maximum(ones, zeros), n)
-    return both / np.maximum(either, 1)
+        na, nb = np.ones_like(na), np.ones_like(nb)
+    place = np.searchsorted(b, a)
+    hit = np.flatnonzero(place < len(b))
+    hit = hit[b[place[hit]] == a[hit]]
+    both = np.bincount((a[hit] >> away).astype(np.int64), np.minimum(na[hit], nb[place[hit]]), n)
+    total = np.bincount((a >> away).astype(np.int64), na, n) + np.bincount((b >> away).astype(np.int64), nb, n)
+    return both / np.maximum(total - both, 1)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float) -> DataFrame:
@@ -134,7 +131,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str]
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(runtime.lean(run), "a long, b long")
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -164,7 +161,7 @@ def _contracted(edges: DataFrame, n: int) -> DataFrame:
         found = [(x, r) for x in list(parent) if (r := root(x)) != x]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["u", "v"])
 
-    return edges.repartition(-(-max(n, 1) // CHUNK_EDGES)).mapInArrow(run, "u long, v long")
+    return edges.repartition(-(-max(n, 1) // CHUNK_EDGES)).mapInArrow(runtime.lean(run), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,25 +185,68 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def bits(signature: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate of signatures, in 64-bit words: (n, coordinates / 64)."""
-    return np.packbits(((signature >> U64(17)) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+#: Bits of the odd sketch that larger sets have beside the small one, and the least sizes of sets that have it,
+#: over all their elements or over one in ``RATE``.
+WIDE, LARGE, HUGE, RATE = 4096, 400, 4000, 16
+SKETCH = "node long, size long, odd array<long>, wide array<long>, rate int"
 
 
-def most_differing(coordinates: int, threshold: float, sigmas: float = 4.0) -> int:
-    """Bits in which two such sketches may differ; a pair at the threshold differs in more once in 30 000 times."""
-    agree = (1 + threshold) / 2
-    return int(coordinates * (1 - agree + sigmas * np.sqrt(agree * (1 - agree) / coordinates)))
+def odd_sketch(n: int, owner: np.ndarray, element: np.ndarray, size: int) -> np.ndarray:
+    """(n, size / 64): a bit for each slot, whether an odd number of a set's distinct elements hash to it.
+
+    Two sketches differ in no more bits than the sets in elements, so a pair of sets whose sketches differ in more
+    bits than the threshold lets the sets differ in elements is surely below it.
+    """
+    slot = (textops.mix64(element ^ U64(0x5851F42D4C957F2D)) % U64(size)).astype(np.int64)
+    out = np.zeros((n, size // 64), np.int64)
+    for at in range(0, n, 32):
+        lo, hi = np.searchsorted(owner, [at, at + 32])
+        count = np.bincount((owner[lo:hi] - at) * size + slot[lo:hi], minlength=32 * size)
+        out[at:at + 32] = np.packbits((count & 1).astype(np.uint8).reshape(32, size), axis=1).view(np.int64)[: n - at]
+    return out
+
+
+def sketches(nodes: pa.Array, owner: np.ndarray, element: np.ndarray, odd_bits: int) -> pa.RecordBatch:
+    """Rows of ``SKETCH`` for sets given by parallel arrays, sorted by owner, of distinct elements."""
+    n = len(nodes)
+    sizes = np.bincount(owner, minlength=n)
+    rate = np.where(sizes > HUGE, RATE, np.where(sizes > LARGE, 1, 0))
+    use = (rate[owner] == 1) | (rate[owner] == RATE) & (textops.mix64(element) % U64(RATE) == 0)
+    wide = odd_sketch(n, owner[use], element[use], WIDE)[rate > 0]
+    has = pa.array(rate == 0)
+    ends = pa.array(np.concatenate([[0], np.cumsum(rate > 0)]).astype(np.int32) * (WIDE // 64))
+    odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (odd_bits // 64)), pa.array(odd_sketch(n, owner, element, odd_bits).ravel()))
+    return pa.RecordBatch.from_arrays(
+        [nodes, pa.array(sizes), odd, pa.ListArray.from_arrays(ends, pa.array(wide.ravel()), mask=has), pa.array(rate.astype(np.int32), mask=rate == 0)], ["node", "size", "odd", "wide", "rate"]
+    )
+
+
+def _differing(words: int, left: str, right: str) -> Column:
+    return reduce(operator.add, [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(words)])
+
+
+def could_be_similar(threshold: float, odd_bits: int) -> Column:
+    """Whether a pair (columns of ``SKETCH``, and those of the other with ``other_``) may reach the threshold.
+
+    By sizes and odd sketches no such pair is refused (two elements are granted for hash collisions); by sampled
+    sketches of huge sets, one at the threshold in a million (five standard deviations).
+    """
+    most = (F.col("size") + F.col("other_size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(2.0)
+    drawn = most / RATE
+    limit = F.when(F.col("rate") == 1, most).otherwise(drawn + F.sqrt(drawn) * 5 + 2)
+    by_wide = (F.col("rate") != F.col("other_rate")) | (_differing(WIDE // 64, "wide", "other_wide") <= limit)
+    return (F.abs(F.col("size") - F.col("other_size")) <= most) & (_differing(odd_bits // 64, "odd", "other_odd") <= most) & F.coalesce(by_wide, F.lit(True))
 
 
-def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign: Callable[[list[str]], np.ndarray], similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float, sketch: Callable[[list[str]], np.ndarray], coordinates: int) -> DataFrame:
+def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign: Callable[[list[str]], np.ndarray], similarity: Callable[[list[str], list[str]], np.ndarray], threshold: float, elements: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], odd_bits: int) -> DataFrame:
     """(node, root) of the nodes that are linked to others.
 
-    First each node is compared with the hubs of its band values, the greatest few where many share one. Then, where nodes of one band value are
-    still in different components, all such pairs across components are compared, so that a pair that no hub
-    connects isn't lost: their bit sketches in the join's condition, which lets through what could be similar
-    enough, then their texts. ``texts_of(nodes)`` gives (node, text), once for each node; ``sketch`` gives words of
-    ``coordinates`` bits.
+    First each node is compared with the hubs of its band values, the greatest few where many share one. Then, where
+    nodes of one band value are still in different components, all such pairs across components meet in a join whose
+    condition bounds their similarity by sizes and sketches; those that could reach the threshold are compared by
+    their texts, so that a pair that no hub connects isn't lost. ``texts_of(nodes)`` gives (node, text), once for
+    each node; ``elements(texts)`` gives (text index, element), sorted by text and distinct; small sets are told apart
+    by ``odd_bits``.
     """
     found = runtime.stored(candidates(blocks), "candidates")
     pairs = runtime.stored(first_compared(found), "pairs")
@@ -226,28 +266,23 @@ def groups(blocks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sign:
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                words = sketch(part.column("text").to_pylist())
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("node"), flat], ["node", "sketch"])
+                yield sketches(part.column("node"), *elements(part.column("text").to_pylist()), odd_bits)
 
-    entries = texts.select("node", "text").mapInArrow(run, "node long, value long")
+    entries = texts.select("node", "text").mapInArrow(runtime.lean(run), "node long, value long")
     entries = runtime.stored(entries.join(roots, "node", "left").select("node", "value", F.coalesce("root", "node").alias("root")), "entries")
     # The only two nodes of a value have been compared, wherever they met; a third may not have been compared with both.
     mixed = entries.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("value")
     open_entries = runtime.stored(entries.join(runtime.stored(mixed, "mixed"), "value"), "open-entries")
     if open_entries.isEmpty():
         return roots
-    drawn = texts.join(open_entries.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, sketch array<long>")
+    drawn = texts.join(open_entries.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(runtime.lean(draw), SKETCH)
     held = open_entries.groupBy("node").agg(F.collect_set("value").alias("values"))
     left = runtime.stored(open_entries.join(runtime.stored(drawn.join(held, "node"), "sketches"), "node"), "sketched")
-    right = left.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("sketch").alias("other_sketch"), F.col("values").alias("other_values"))
-    differing = F.lit(0)
-    for k in range(coordinates // 64):
-        differing = differing + F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("other_sketch")[k]))
+    right = left.select("value", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "odd", "wide", "rate", "values")])
     # A pair that shares several values comes from the least of them alone.
     once = F.array_min(F.array_intersect("values", "other_values")) == F.col("l.value")
-    ours = left.alias("l").join(right.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("root") < F.col("other_root")) & (differing <= most_differing(coordinates, threshold)) & once)
-    across = ours.select(F.least("node", "other").alias("b"), F.greatest("node", "other").alias("a")).distinct()
+    ours = left.alias("l").join(right.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("root") < F.col("other_root")) & could_be_similar(threshold, odd_bits) & once)
+    across = ours.select(F.least("node", "other_node").alias("b"), F.greatest("node", "other_node").alias("a")).distinct()
     known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = runtime.stored(verified(across.join(known, ["a", "b"], "left_anti"), texts, similarity, threshold), "more-links")
     if more.isEmpty():
