@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -117,12 +118,16 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(audio: Column) -> Column:
-    """Binary column: little-endian 32-bit integers of a recording."""
+def fingerprints(audio: Column, render: Callable[[object], bytes | None] | None = None) -> Column:
+    """Binary column: little-endian 32-bit integers of a recording, or of the one that ``render`` makes of a value.
+
+    Recordings are rendered one at a time, so that a batch never holds more than its values and one recording.
+    """
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(chroma(*decode_wav(v.as_py()))).astype("<u4").tobytes() for v in column], pa.binary())
+        values = (v.as_py() for v in column)
+        return pa.array([fingerprint(chroma(*decode_wav(render(v) if render else v))).astype("<u4").tobytes() for v in values], pa.binary())
 
     return run(audio)
 
@@ -163,7 +168,7 @@ class Index:
         return out
 
 
-def aligned(media: DataFrame, id_col: str, audio_col: str, every: int = 20, shared: int = 4, overlap: int = 16, error: float = 0.2, block: int = 4096) -> DataFrame:
+def aligned(media: DataFrame, id_col: str, audio_col: str, render: Callable[[object], bytes | None] | None = None, every: int = 20, shared: int = 4, overlap: int = 16, error: float = 0.2, block: int = 4096) -> DataFrame:
     """(id, class_id, n_frames, n_links) of every row.
 
     ``n_links`` counts other classes, among those with an id divisible by ``every``, that align with the row's:
@@ -171,8 +176,8 @@ def aligned(media: DataFrame, id_col: str, audio_col: str, every: int = 20, shar
     differing. Query classes are read in blocks, each broadcast; rows meet them as classes, so copies cost once.
     """
     spark = media.sparkSession
-    runtime.prepare(spark, 128)
-    prints = runtime.stored(media.select(F.col(id_col).alias("id"), fingerprints(F.col(audio_col)).alias("print")), "prints")
+    runtime.prepare(spark)
+    prints = runtime.stored(media.select(F.col(id_col).alias("id"), fingerprints(F.col(audio_col), render).alias("print")), "prints")
     full = prints.where(F.length("print") > 0)
     classes = runtime.stored(full.groupBy("print").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asks")), "print-classes")
     links = spark.createDataFrame([], "class_id long, query long")
@@ -193,7 +198,7 @@ def aligned(media: DataFrame, id_col: str, audio_col: str, every: int = 20, shar
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(query, pa.int64())], ["class_id", "query"])
 
-        return classes.where("class_id is not null").select("class_id", "print").mapInArrow(run, "class_id long, query long")
+        return classes.where("class_id is not null").select("class_id", "print").mapInArrow(runtime.lean(run), "class_id long, query long")
 
     for row in asking:
         held.append((row.class_id, bytes(row.print)))
@@ -204,28 +209,17 @@ def aligned(media: DataFrame, id_col: str, audio_col: str, every: int = 20, shar
         links = links.unionByName(match(held))
     counted = links.groupBy("class_id").agg(F.count("*").alias("n_links"))
     named = runtime.stored(classes.join(counted, "class_id", "left").select("print", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "print-links")
-    known = near.few(named.withColumnRenamed("print", "_print"), named.count())
-    joined = prints.join(known, F.col("print") == F.col("_print"), "left")
+    known = near.few(named.withColumnRenamed("print", "known"), named.count())
+    joined = prints.join(known, F.col("print") == F.col("known"), "left")
     return joined.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce(F.length("print"), F.lit(0)) / 4).cast("int").alias("n_frames"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
-def sonified(vectors: Column) -> Column:
-    """Recordings of vectors: a note of two octaves for each component, by its size relative to the vector's spread."""
-
-    @F.arrow_udf("binary")
-    def run(column: pa.Array) -> pa.Array:
-        out = []
-        for v in column:
-            x = v.as_py()
-            if not x:
-                out.append(None)
-                continue
-            a = np.nan_to_num(np.array([0.0 if y is None else y for y in x]))
-            spread = a.std() or 1.0
-            out.append(tone_wav(np.clip(np.round(12 + 5 * (a - a.mean()) / spread), 0, 24)))
-        return pa.array(out, pa.binary())
-
-    return run(vectors)
+def sonified(vector: list[float | None] | None) -> bytes | None:
+    """A recording of a vector: a note of two octaves for each component, by its size relative to the vector's spread."""
+    if not vector:
+        return None
+    a = np.nan_to_num(np.array([0.0 if y is None else y for y in vector]))
+    return tone_wav(np.clip(np.round(12 + 5 * (a - a.mean()) / (a.std() or 1.0)), 0, 24))

@@ -2,8 +2,9 @@
 
 Terms are hashed words, word shapes, punctuation runs and adjacent repeats. Document frequencies count every
 document. The latent space is the randomised SVD of a bounded labelled sample's TF-IDF rows; every document is
-projected, its cosine with every labelled vector is computed in blocks, and the nearest vote by similarity. Empty
-and null texts have the zero vector and take the sample's mean label, 0.5 when nothing is labelled.
+projected, its cosine with every labelled vector is computed in blocks, and the nearest vote by similarity; labelled
+vectors as near as the last of them vote too. Empty and null texts have the zero vector and take the sample's mean
+label, 0.5 when nothing is labelled.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         yield pa.RecordBatch.from_pydict({"bucket": np.r_[np.flatnonzero(seen), -1].astype(np.int32), "n": np.r_[seen[seen > 0], n]})
 
     out, n = np.zeros(BUCKETS, np.int64), 0
-    for row in docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select(text_col).mapInArrow(runtime.lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if row.bucket < 0:
             n = row.n
         else:
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         vectors = np.concatenate([np.zeros((0, basis.shape[1]), np.float32)] + [_project(texts[at:at + _BLOCK], idf, basis) for at in range(0, len(texts), _BLOCK)])
         yield pa.RecordBatch.from_pydict({"basis": [basis.tobytes()], "vectors": [vectors.tobytes()], "labels": [np.array(marks, np.float32).tobytes()], "rank": pa.array([basis.shape[1]], pa.int32())})
 
-    got = drawn.repartition(1).sortWithinPartitions("draw", "text").mapInArrow(run, "basis binary, vectors binary, labels binary, rank int").collect()
+    got = drawn.repartition(1).sortWithinPartitions("draw", "text").mapInArrow(runtime.lean(run), "basis binary, vectors binary, labels binary, rank int").collect()
     if not got:
         return Model(idf, np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), neighbours, power)
     g = got[0]
@@ -154,10 +155,11 @@ def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     for at in range(0, len(texts), _BLOCK) if k else ():
         unit = _project(texts[at:at + _BLOCK], model.idf, model.basis)
         cosine = unit @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0).astype(np.float64) ** model.power
-        total = weight.sum(1)
-        vote = (weight * model.labels[near]).sum(1) / np.where(total > 0, total, 1)
+        least = np.maximum(np.partition(cosine, -k, axis=1)[:, -k], 1e-9)
+        row, near = np.nonzero(cosine >= least[:, None])
+        weight = cosine[row, near].astype(np.float64) ** model.power
+        total = np.bincount(row, weight, len(cosine))
+        vote = np.bincount(row, weight * model.labels[near], len(cosine)) / np.where(total > 0, total, 1)
         out[at:at + _BLOCK] = np.where(total > 0, vote, prior)
     return np.clip(out, 0.0, 1.0)
 

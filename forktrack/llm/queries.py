@@ -70,7 +70,7 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint classes and alignments of recordings, one made from every embedding: no table holds audio."""
     vectors = _table(spark, sf_dir, "embeddings")
-    return chroma.aligned(vectors.select("vec_id", chroma.sonified(F.col("embedding")).alias("audio")), "vec_id", "audio")
+    return chroma.aligned(vectors, "vec_id", "embedding", render=chroma.sonified)
 
 
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

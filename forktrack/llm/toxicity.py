@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         m = fit(texts, marks)
         yield pa.RecordBatch.from_pydict({"features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias]})
 
-    got = rows.repartition(1).sortWithinPartitions("draw", "text").mapInArrow(run, "features binary, weights binary, bias double").collect()
+    got = rows.repartition(1).sortWithinPartitions("draw", "text").mapInArrow(runtime.lean(run), "features binary, weights binary, bias double").collect()
     if not got:
         return Model(np.zeros(0, U64), np.zeros(0), 0.0)
     return Model(np.frombuffer(got[0].features, U64), np.frombuffer(got[0].weights, np.float64), got[0].bias)
