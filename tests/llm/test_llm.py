@@ -92,6 +92,32 @@ def test_codes_pack_and_unpack(words):
     assert np.array_equal(bpe.unpack_codes(bpe.pack_codes(codes, words), len(codes), words), codes)
 
 
+def thue_morse(n):
+    """Two words of n letters that any polynomial hash modulo 2 ** 64 takes for one."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_one_hash_are_told_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(n)
+    cp = np.frombuffer((one + two).encode("utf-32-le"), "<u4")
+    assert np.unique(textops.span_hashes(cp, np.array([0, n]), np.array([n, 2 * n]))).size == 1
+    texts = [one, two, f"{two} {one}", one]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frame in (docs.coalesce(1), docs.repartition(4)):
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_documents(frame, bpe.default_ranks()).collect()}
+        assert got == {i: expected_ids(t) for i, t in enumerate(texts)}
+    path = orc_tokens.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert [x.tolist() for x in orc_tokens.encode_texts(texts, path)] == want
+    assert [orc_tokens.encode_texts([x], path)[0].tolist() for x in texts] == want
+    assert len(set(dart.node_ids([one, two]))) == 2
+
+
 # 2: WARC in ZIP
 
 
@@ -241,8 +267,8 @@ def exact_space(texts):
 
 def found_by_default(docs, items):
     limits = {k: inspect.signature(decontam.leaks).parameters[k].default for k in ("cosine", "cover", "paraphrase")}
-    space = exact_space(docs + items)
-    return {(t, i): part for t, i, _, _, part in decontam.search(docs, space, decontam._item_block([(i, x, None) for i, x in enumerate(items)], space), **limits)}
+    space, hashed = exact_space(docs + items), textops.hashed_words(docs)
+    return {(t, i): part for t, i, _, _, part in decontam.search(hashed, decontam.window_vectors(*hashed, space), space, decontam._item_block([(i, x, None) for i, x in enumerate(items)], space), **limits)}
 
 
 def test_a_short_item_is_found_in_a_window_of_other_words():
@@ -260,8 +286,53 @@ def test_long_items_are_found_whole(n, before):
 
 
 def test_blocks_of_items_are_bounded_in_words():
-    assert decontam._block_bounds([10] * 5, 2) == [(0, 2), (2, 4), (4, 5)]
-    assert decontam._block_bounds([500, 10, 10, 200], 2) == [(0, 1), (1, 3), (3, 4)] and decontam._block_bounds([], 2) == []
+    sizes = lambda most, *n: [len(b) for b in decontam._item_blocks([(k, "w " * x, None) for k, x in enumerate(n)], most)]
+    assert sizes(2, 10, 10, 10, 10, 10) == [2, 2, 1] and sizes(2, 500, 10, 10, 200) == [1, 2, 1] and sizes(2) == []
+
+
+def test_of_equally_covering_windows_the_first_is_given():
+    item, other = [f"w{k}" for k in range(30)], [f"o{k}" for k in range(200)]
+    docs = [" ".join(other + item + other + item + other)]
+    space, hashed = exact_space(docs), textops.hashed_words(docs)
+    found, = decontam.search(hashed, decontam.window_vectors(*hashed, space), space, decontam._item_block([(7, " ".join(item), None)], space), 0.45, 0.6, 0.4)
+    assert 100 < found[2] <= 230 and found[4] > 0.999
+
+
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        held = 0
+        for k, y in enumerate(b, 1):
+            held, best[k] = best[k], held + 1 if x == y else max(best[k], best[k - 1])
+    return best[-1]
+
+
+def test_recall_against_exhaustive_subsequences(spark):
+    """Production parameters but the sample's size; every (document, item) pair by an unweighted subsequence."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(4, 8))) for _ in range(3000)]
+    items = [sentence(r, r.randint(12, 40), words) + ". " + sentence(r, 5, words) + "." for _ in range(30)]
+    items += [sentence(r, n, words) + ". " + sentence(r, 5, words) + "." for n in (240, 400)]
+    docs = []
+    for d in range(160):
+        item = items[r.randrange(len(items))].split()
+        for k in r.sample(range(len(item) - 5), int((len(item) - 5) * r.choice([0, 0.15, 0.3, 0.45]))):
+            item[k] = r.choice(words)
+        docs.append((d, " ".join([sentence(r, r.randint(0, 200), words), *(item if d % 2 else []), sentence(r, r.randint(1, 200), words)])))
+    plain = [t.replace(".", "").split() for t in items]
+    passages = {d: t.replace(".", "").split() for d, t in docs}
+    want = set()
+    for d, own in passages.items():
+        for i, item in enumerate(plain):
+            part = longest_common(item, own) / len(item)
+            said = any(own[k:k + 5] == item[-5:] for k in range(len(own) - 4))
+            # Well within either rule: weights and passage bounds settle what lies between.
+            if part >= 0.7 or part >= 0.5 and said:
+                want.add((d, i))
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert len(want) > 50 and len(got & want) >= 0.95 * len(want)
+    assert all(d % 2 for d, _ in got)
 
 
 # 6 and 8: near-duplicates
@@ -316,15 +387,29 @@ def test_darts_estimate_weighted_similarity():
     assert (s[0] == s[1]).mean() == pytest.approx(truth, abs=0.03)
 
 
-def test_sketches_let_similar_pairs_through():
+def test_sketches_let_similar_pairs_through(spark):
+    import pyarrow as pa
+
     r = random.Random(7)
-    vocabulary = [f"v{i}" for i in range(500)]
-    base = [r.choice(vocabulary) for _ in range(300)]
-    for n in range(1, 9):
-        pair = [" ".join(base), " ".join(edited(r, base, n, vocabulary))]
-        if dart.similarity(pair[:1], pair[1:])[0] >= 0.8:
-            a, b = dart.sketch(pair)
-            assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in a ^ b) <= near.most_differing(dart.SKETCH, 0.8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    for mod, lengths in ((dart, (3, 40, 300, 700, 5000)), (lines, (1, 5, 30, 200, 1200))):
+        texts = []
+        for n in lengths:
+            base = [r.choice(vocabulary) for _ in range(n)]
+            texts += [" ".join(base)] + [" ".join(edited(r, base, min(k, n), vocabulary)) for k in (1, 2, 5, 9, 30, 60)]
+        left = spark.createDataFrame(near.sketches(pa.array(range(len(texts)), pa.int64()), *mod.elements(texts), mod.ODD).to_pylist(), near.SKETCH)
+        assert {x.rate for x in left.collect()} == {None, 1, near.RATE}
+        right = left.select(*[F.col(c).alias(f"other_{c}") for c in left.columns])
+        passed = {(x.node, x.other_node) for x in left.crossJoin(right).where(near.could_be_similar(0.8, mod.ODD)).select("node", "other_node").collect()}
+        pairs = [(a, b) for a in range(len(texts)) for b in range(len(texts))]
+        alike = {p for p in pairs if mod.similarity([texts[p[0]]], [texts[p[1]]])[0] >= 0.8}
+        assert len(alike) > len(texts) and alike <= passed and len(passed) < len(pairs) / 3
+
+
+def test_jaccard_counts_or_sets():
+    left = (np.array([0, 0, 0, 2]), np.array([1 << 40, 1 << 40, 2 << 40, 5 << 40], np.uint64))
+    right = (np.array([0, 2, 2]), np.array([1 << 40, 5 << 40, 6 << 40], np.uint64))
+    assert near.jaccard(3, left, right, True).tolist() == [1 / 3, 0, 0.5] and near.jaccard(3, left, right, False).tolist() == [0.5, 0, 0.5]
 
 
 def test_union_find_within_and_across_chunks(spark, monkeypatch):
@@ -390,6 +475,21 @@ def test_fuzzy_lines_match_brute_force(spark, odd, none):
     assert lines.dedup(none).count() == 0
 
 
+CLASHES = ("_node", "_kept", "_lost", "_lost_id", "_bad", "_score", "_class", "node", "id", "text_", "lost_id", "lost_lines", "leaking", "stays", "lines", "want", "root", "class_id", "known", "line", "draw", "label")
+
+
+def test_columns_of_any_name_are_left_alone(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{text}\nalone here"), (2, f"{text}\nother line"), (3, text), (4, "something else of its own that stays as it is")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table = table.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([(1, "something else of its own that stays as it is")], "item_id long, text string")
+    for got, ids in ((lines.dedup(table), {1, 2, 3, 4}), (dart.keep_one(table), {1, 2, 3, 4}), (decontam.without_leaks(table, bench), {1, 2, 3})):
+        found = got.collect()
+        assert got.columns == table.columns and {r.doc_id for r in found} == ids
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHES)
+
+
 # 9: chroma fingerprints
 
 
