@@ -11,7 +11,7 @@ from forktrack.llm import bpe, dart, decontam, lines, runtime, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; the model learns from labelled rows of what it is given."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_score", toxicity.score(F.col("text"), model)).where("_score < 0.7").drop("_score")
+    return docs.where(toxicity.score(F.col("text"), model) < 0.7)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document left, with digests of the ids and of the decoded bytes."""
-    return bpe.encode_documents(docs, bpe.default_ranks(), digest=True)
+    """Token ids of each document left, with digests of the ids and of the decoded bytes.
+
+    Batches are a third of the operator's usual size, since executors come to this stage with full heaps.
+    """
+    return bpe.encode_documents(docs, bpe.default_ranks(), batch_chars=3_000_000, digest=True)
 
 
 STAGES = [
