@@ -124,7 +124,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return out, n
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, max_train_rows: int = 3000, rank: int = 48, neighbours: int = 15, power: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, max_train_rows: int = 3000, rank: int = 32, neighbours: int = 7, power: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model whose labelled vectors, at most about ``max_train_rows`` of them, are small enough to broadcast."""
     runtime.prepare(docs.sparkSession)
     seen, n = document_frequencies(docs, text_col)
