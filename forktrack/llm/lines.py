@@ -183,10 +183,31 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = runtime.stored(rows.mapInArrow(runtime.lean(_lines(False)), f"id {id_type}, line int, node long"), "places")
     known = near.few(roots, roots.count())
     rooted = places.join(known, "node", "left").select("id", "line", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = runtime.stored(first.select("root", "first"), "first-lines")
-    lost = rooted.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    return lost.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    none = F.max(F.col("id").isNull())
+    first = rooted.groupBy("root").agg(F.min("id").alias("least"), none.alias("none"), F.count("*").alias("n")).where("n > 1").select("root", "least", "none")
+    stays = F.when(F.col("none"), F.col("id").isNull()).otherwise(F.col("id") == F.col("least"))
+    shared = rooted.join(runtime.stored(first, "first-ids"), "root").select("id", F.struct("line", "root", stays.alias("stays")).alias("own"))
+    lost = shared.groupBy("id").agg(F.collect_set("own").alias("own")).mapInArrow(runtime.lean(_lost), f"id {id_type}, lines array<int>")
+    return lost.where(F.size("lines") > 0)
+
+
+def _lost(batches):
+    """(id, lines that go) of (id, its lines that share a component): of the document where a component's first line
+    is, the least line of each such component stays."""
+    for b in batches:
+        own = b.column("own")
+        size = own.value_lengths().to_numpy()
+        line, root, stays = (np.asarray(c) for c in own.flatten().flatten())
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((line, root, row))
+        head = np.ones(len(order), bool)
+        head[1:] = (row[order][1:] != row[order][:-1]) | (root[order][1:] != root[order][:-1])
+        goes = ~stays
+        goes[order[~head]] = True
+        order = np.lexsort((line, row))
+        order = order[goes[order]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[order], minlength=len(size)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(line[order].astype(np.int32)))], ["id", "lines"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
