@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..config import ForkConfig
 
 
@@ -62,7 +63,10 @@ class TwoMeans:
 
 
 def two_means(values: DataFrame, column: str, start: tuple[float, float] = (0.01, 0.5), tolerance: float = 1e-4, iterations: int = 100) -> TwoMeans:
-    """Two clusters on a line from fixed starts; ties go to the second. One small aggregate for each iteration."""
+    """Two clusters on a line from fixed starts; ties go to the second. One small aggregate for each iteration.
+
+    ``values`` is read in each iteration: give a written table.
+    """
     x = F.col(column)
     c1, c2 = start
     row = None
@@ -82,6 +86,7 @@ def two_means(values: DataFrame, column: str, start: tuple[float, float] = (0.01
 
 def incorporation(fractions: DataFrame, config: ForkConfig = ForkConfig()) -> dict[str, tuple[float, float | None]]:
     """(centroid, lower bound) of the higher cluster of each analogue; refuses too few windows."""
+    fractions = tables.written(fractions, "fractions")
     n = fractions.agg(F.count("edu_fraction").alias("edu"), F.count("brdu_fraction").alias("brdu")).first()
     if min(n.edu, n.brdu) < config.least_windows:
         raise ValueError(f"{min(n.edu, n.brdu)} windows are too few to estimate incorporation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..config import AlignmentFilter
 
 
@@ -28,6 +29,36 @@ def missing_from(reads: DataFrame, index: DataFrame, key: str = "read_id") -> Da
     return reads.join(index.select(key), key, "left_anti")
 
 
+def with_signal(reads: DataFrame, signals: DataFrame, key: str = "read_id") -> DataFrame:
+    """Reads with the columns of their signal, the parent's for a split read; reads without one are dropped.
+
+    ``signals``: a row for each stored read, with ``key`` and any others.
+    """
+    stored = signals.withColumnRenamed(key, "_stored")
+    return reads.withColumn("_fetch", fetch_id(reads)).join(stored, F.col("_fetch") == F.col("_stored")).drop("_fetch", "_stored")
+
+
+def reference_slices(alignments: DataFrame, genome: DataFrame, key: str = "read_id", tile: int = 1 << 16) -> DataFrame:
+    """``alignments`` with ``reference``: the genome's bases from ref_start to before ref_end.
+
+    ``genome``: contig, seq. Contigs are cut into tiles, which are what moves; an alignment meets the few that it
+    spans, so a long contig is no hot key. Bases beyond a contig's end are missing, and so are alignments without any.
+    """
+    tiles = genome.where(F.length("seq") > 0).select(
+        "contig", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(length(seq) - 1) div {tile}").cast("int")), lambda i: F.substring("seq", i * tile + 1, F.lit(tile)))).alias("_tile", "_bases")
+    )
+    spans = alignments.where("ref_end > ref_start").select(key, "contig", "ref_start", "ref_end", F.explode(F.sequence(F.expr(f"ref_start div {tile}").cast("int"), F.expr(f"(ref_end - 1) div {tile}").cast("int"))).alias("_tile"))
+    parts = spans.join(tiles, ["contig", "_tile"]).groupBy(key, "ref_start", "ref_end").agg(F.array_sort(F.collect_list(F.struct("_tile", "_bases"))).alias("_parts"))
+    bases = F.array_join(F.transform("_parts", lambda p: p["_bases"]), "")
+    sliced = parts.select(key, "ref_start", "ref_end", F.substring(bases, (F.col("ref_start") % tile + 1).cast("int"), (F.col("ref_end") - F.col("ref_start")).cast("int")).alias("reference"))
+    return alignments.join(sliced.where("reference <> ''"), [key, "ref_start", "ref_end"])
+
+
+def with_calls(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """Aligned events with the calls of their coordinate, null where a read has none there."""
+    return events.join(calls.select("read_id", "coord", "p_edu", "p_brdu"), ["read_id", "coord"], "left")
+
+
 def latest(index: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key: the last by ``order``."""
     return index.groupBy(key).agg(F.max_by(F.struct(*[c for c in index.columns if c != key]), order).alias("_r")).select(key, "_r.*")
@@ -125,7 +156,7 @@ def sharded(reads: DataFrame, order: str, size: int = 300) -> DataFrame:
     Ranks come from counts of range partitions, not from a window over everything: each partition numbers its own
     rows, and offsets are a row for each partition.
     """
-    spread = reads.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    spread = tables.written(reads.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "shards")
     local = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

@@ -208,8 +208,16 @@ SQL = {
       SELECT round(observed, 6) AS observed, round(observed_sd, 6) AS observed_sd, round(expected, 6) AS expected, round(expected_sd, 6) AS expected_sd, round(difference, 6) AS difference, round(difference_sd, 6) AS difference_sd,
              round(difference - 1.96 * difference_sd, 6) AS low, round(difference + 1.96 * difference_sd, 6) AS high FROM d""",
     "read_filter": "SELECT l_returnflag AS seq, count(*) AS n, CAST(sum(trunc(l_extendedprice / 10)) AS BIGINT) AS bases FROM lineitem WHERE trunc(l_quantity) >= 20 AND trunc(l_extendedprice / 10) >= 1000 GROUP BY 1",
-    "index_join": "SELECT o_orderkey, o_custkey AS read_id, c_name AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 3 <> 0",
-    "index_missing": "SELECT o_orderkey, o_custkey AS read_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)",
+    "index_join": "SELECT o_orderkey, o_custkey AS read_id, c_name AS path FROM orders JOIN customer ON c_custkey = o_custkey",
+    "index_missing": "SELECT doc_id AS read_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "signal_join": "SELECT c_custkey AS read_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 97 END AS pi, CAST(len(embedding) AS INTEGER) AS n_samples, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM customer JOIN embeddings ON vec_id = CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 97 ELSE c_custkey END",
+    "reference_substring": f"WITH {SEQUENCES}, a AS (SELECT o_orderkey AS read_id, o_orderkey % 40 AS contig, o_custkey % 60 AS ref_start, 1 + o_orderkey % 70 AS n FROM orders) SELECT read_id, contig, ref_start, substr(seq, ref_start + 1, n) AS reference FROM a JOIN sequences ON item_id = contig WHERE ref_start < length(seq)",
+    "event_calls": "WITH " + CALLS + ", enough AS (SELECT read_id FROM calls GROUP BY read_id HAVING count(*) > 60) SELECT c.read_id, c.coord, c.idx, CASE WHEN n.read_id IS NOT NULL THEN c.e * 1.0::DOUBLE END AS p_edu, CASE WHEN n.read_id IS NOT NULL THEN c.b * 1.0::DOUBLE END AS p_brdu FROM calls c LEFT JOIN enough n ON n.read_id = c.read_id",
+    "prefix_sums": f"SELECT l_suppkey, round(max(s), 2) AS total, round(max(q), 2) AS squares, round(sum(s), 2) AS area FROM (SELECT l_suppkey, sum(l_quantity) OVER o AS s, sum(l_quantity * l_quantity) OVER o AS q FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING)) GROUP BY 1",
+    "densities": "SELECT l_partkey, round(sum(-0.5 * ln(2 * pi()) - ln(9.0::DOUBLE) - 0.5 * ((l_quantity - 25) / 9.0) * ((l_quantity - 25) / 9.0)), 5) AS log_normal, round(sum(CASE WHEN l_quantity BETWEEN 10 AND 30 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END), 6) AS uniform, round(sum(1 / (pi() * 4 * (1 + ((l_quantity - 20) / 4.0) * ((l_quantity - 20) / 4.0)))), 6) AS cauchy FROM lineitem GROUP BY 1",
+    "model_calls": f"""WITH {SEQUENCES}, k AS (SELECT item_id, place, kmer, (place % 7) / 7.0::DOUBLE AS s1, (place % 5) / 5.0::DOUBLE AS s2 FROM ({_kmers(9)}) WHERE substr(kmer, 5, 1) = 'T'),
+      m AS (SELECT *, (s1 + s2) / greatest(CASE WHEN s1 <> 0 THEN 1 ELSE 0 END + CASE WHEN s2 <> 0 THEN 1 ELSE 0 END, 1) AS mean FROM k)
+      SELECT item_id, CAST(place AS INTEGER) AS place, kmer, round(exp(mean / 2) / (1 + exp(mean / 2) + exp(-mean / 2)), 6) AS p_brdu, round(exp(-mean / 2) / (1 + exp(mean / 2) + exp(-mean / 2)), 6) AS p_edu FROM m""",
     "index_latest": "SELECT o_custkey AS read_id, max(o_orderkey) AS line, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
     "basename_join": f"SELECT b AS filename, min(u) AS path FROM (SELECT u, regexp_extract(u, '[^/]*$') AS b FROM {_PAGES}) WHERE b <> '' GROUP BY b",
     "path_parts": f"SELECT page_id, regexp_extract(u, '[^/]*$') AS base, regexp_extract(u, '\\.([^./]*)$', 1) AS ext, regexp_replace(u, '\\.[^./]*$', '') AS stem FROM {_PAGES}",
@@ -222,7 +230,7 @@ SQL = {
     "quantile_scaling": f"SELECT l_suppkey, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 3) AS intercept FROM (SELECT a.l_suppkey, a.m AS x, z.m AS y FROM ({_quantiles('l_quantity')}) a JOIN ({_quantiles('l_extendedprice')}) z ON a.l_suppkey = z.l_suppkey AND a.part = z.part) GROUP BY 1",
     "theil_sen": f"""WITH placed AS (
         SELECT l_suppkey, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) - 51 AS k, count(*) OVER (PARTITION BY l_suppkey) - 100 AS n FROM lineitem),
-      pts AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY k) AS o FROM placed WHERE k >= 0 AND k < n AND k % greatest(n // 40, 1) = 0 AND k / greatest(n // 40, 1) < 40),
+      pts AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY k) AS o FROM placed WHERE k >= 0 AND k < n AND k % greatest(n // 1000, 1) = 0 AND k / greatest(n // 1000, 1) < 1000),
       slopes AS (SELECT a.l_suppkey, list_sort(list((a.y - b.y) / (a.x - b.x))) AS v FROM pts a JOIN pts b ON a.l_suppkey = b.l_suppkey AND a.o < b.o WHERE a.x <> b.x GROUP BY 1),
       s AS (SELECT l_suppkey, v[len(v) // 2 + 1] AS slope FROM slopes),
       i AS (SELECT l_suppkey, slope, list_sort(list(y - slope * x)) AS v FROM pts JOIN s USING (l_suppkey) GROUP BY ALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..config import BreakConfig
 from ..operators import breaks
 
@@ -15,7 +16,7 @@ def analyse(left: DataFrame | None, right: DataFrame | None, tracks: DataFrame,
     Forks and tracks: read_id, start, end, read_start, read_end, tracks also ``line``; reads: read_start, read_end.
     """
     lines = breaks.single_lines(breaks.fork_lines(left, right))
-    known = breaks.with_track(lines, tracks, compat).cache()
+    known = tables.written(breaks.with_track(lines, tracks, compat), "tracks")
     stats = breaks.length_stats(breaks.interior_lengths(known, config)).first()
     own = breaks.long_reads(known, stats.min_read_length)
     legacy = "is_legacy" in known.columns and bool(known.where("is_legacy").limit(1).count())

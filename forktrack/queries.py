@@ -6,14 +6,12 @@ positive EdU calls, purchases and signups positive BrdU calls. Thresholds are sc
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import oracle, tables
 from .config import AlignmentFilter, BreakConfig, ForkConfig, GmmConfig
 from .functions import cigar, logmath, modtags, seq
 from .operators import breaks, density, forks, fractions, lookup, match, segment, stall
@@ -76,7 +74,7 @@ def stitch_segments(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    found = spans(spark, sf_dir)
+    found = tables.written(spans(spark, sf_dir), "segments")
     return found.where("label = 'E'"), found.where("label = 'B'")
 
 
@@ -108,13 +106,13 @@ def fork_bounds_signature(spark, sf_dir):
 
 def origins(spark, sf_dir):
     """Regions between diverging forks."""
-    found = _bounds(spark, sf_dir)
+    found = tables.written(_bounds(spark, sf_dir), "forks")
     return match.origins(found.where("direction = 'left'"), found.where("direction = 'right'"))
 
 
 def terminations(spark, sf_dir):
     """Regions between converging forks."""
-    found = _bounds(spark, sf_dir)
+    found = tables.written(_bounds(spark, sf_dir), "forks")
     return match.terminations(found.where("direction = 'left'"), found.where("direction = 'right'"))
 
 
@@ -142,7 +140,7 @@ def call_fractions(spark, sf_dir):
 
 def two_means(spark, sf_dir):
     """Two clusters of EdU fractions."""
-    m = fractions.two_means(fractions.call_fractions(calls(spark, sf_dir), CONFIG), "edu_fraction")
+    m = fractions.two_means(tables.written(fractions.call_fractions(calls(spark, sf_dir), CONFIG), "fractions"), "edu_fraction")
     names = ["centroid_1", "lower_1", "deviation_1", "centroid_2", "lower_2", "deviation_2"]
     return spark.createDataFrame([tuple(None if getattr(m, n) is None else round(getattr(m, n), 6) for n in names)], ", ".join(f"{n} double" for n in names))
 
@@ -231,7 +229,7 @@ def read_filter(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("read_id"), F.col("c_name").alias("path"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("read_id"), F.col("c_name").alias("path"))
 
 
 def _reads(spark, sf_dir):
@@ -244,8 +242,45 @@ def index_join(spark, sf_dir):
 
 
 def index_missing(spark, sf_dir):
-    """Reads that the index doesn't know."""
-    return lookup.missing_from(_reads(spark, sf_dir), _index(spark, sf_dir)).select("o_orderkey", "read_id")
+    """Reads that the index doesn't know: documents that are not labelled."""
+    index = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("read_id"))
+    return lookup.missing_from(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "n_chars"), index).select("read_id", "n_chars")
+
+
+def signal_join(spark, sf_dir):
+    """Customers as reads, every other one split from a parent, with the signal that is stored for them."""
+    k = F.col("c_custkey")
+    reads = table(spark, sf_dir, "customer").select(k.alias("read_id"), F.when(k % 2 == 0, k % 97).alias("pi"))
+    signals = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.size("embedding").alias("n_samples"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+    return lookup.with_signal(reads, signals).select("read_id", "pi", "n_samples", "first")
+
+
+def reference_substring(spark, sf_dir):
+    """Orders as alignments to the sequences, with the bases that they cover; short tiles, so that most span several."""
+    k = F.col("o_orderkey")
+    a = table(spark, sf_dir, "orders").select(k.alias("read_id"), (k % 40).alias("contig"), (F.col("o_custkey") % 60).alias("ref_start"), (F.col("o_custkey") % 60 + 1 + k % 70).alias("ref_end"))
+    return lookup.reference_slices(a, sequences(spark, sf_dir).withColumnRenamed("item_id", "contig"), tile=16).select("read_id", "contig", "ref_start", "reference")
+
+
+def event_calls(spark, sf_dir):
+    """Every call's place with the calls of molecules that have enough of them."""
+    c = calls(spark, sf_dir)
+    return lookup.with_calls(c.select("read_id", "coord", "idx"), segment.enough_calls(c, CONFIG)).select("read_id", "coord", "idx", "p_edu", "p_brdu")
+
+
+def prefix_sums(spark, sf_dir):
+    """Running sums of every supplier's quantities, summed up."""
+    rows = detection.prefix_sums(table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER), "l_suppkey", _ORDER, "l_quantity")
+    return rows.groupBy("l_suppkey").agg(F.round(F.max("sum"), 2).alias("total"), F.round(F.max("sum_sq"), 2).alias("squares"), F.round(F.sum("sum"), 2).alias("area"))
+
+
+def densities(spark, sf_dir):
+    """Log normal, uniform and Cauchy densities of quantities, summed for every part."""
+    x = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.round(F.sum(logmath.log_normal_density(F.lit(25.0), F.lit(9.0), x)), 5).alias("log_normal"), F.round(F.sum(logmath.uniform_density(F.lit(10.0), F.lit(30.0), x)), 6).alias("uniform"),
+        F.round(F.sum(logmath.cauchy_density(F.lit(20.0), F.lit(4.0), x)), 6).alias("cauchy"),
+    )
 
 
 def index_latest(spark, sf_dir):
@@ -317,7 +352,7 @@ _ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpr
 
 def theil_sen(spark, sf_dir):
     """Upper-median line through thinned points of every supplier."""
-    rows = lookup.thinned(table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER), "l_suppkey", _ORDER, 50, 40)
+    rows = lookup.thinned(table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER), "l_suppkey", _ORDER)
     rows = rows.withColumn("o", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)))
     return lookup.theil_sen(rows, "l_suppkey", "l_quantity", "l_extendedprice", "o").select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
@@ -515,16 +550,11 @@ def model_calls(spark, sf_dir):
 # Streams
 
 
-def _scratch(spark, label):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    return f"{base.rstrip('/')}/forktrack-stream-{label}-{uuid.uuid4().hex}"
-
-
 def _drained(spark, sf_dir, label, build):
     """A streaming aggregate over the events that are there, as the table its last state wrote."""
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _scratch(spark, label)
+    out = tables.scratch(spark, label)
     query = build(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
@@ -558,7 +588,7 @@ def stream_session(spark, sf_dir):
 def stream_fractions(spark, sf_dir):
     """Call-fraction windows that a stream of calls closes."""
     batch = calls(spark, sf_dir).select("read_id", "coord", "p_edu", "p_brdu")
-    source, out = _scratch(spark, "calls"), _scratch(spark, "fractions")
+    source, out = tables.scratch(spark, "calls"), tables.scratch(spark, "fractions")
     batch.repartitionByRange(4, "coord").write.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source)
     streaming.run_available(streaming.fractions(stream, CONFIG), "parquet", out, f"{out}-state")
@@ -567,7 +597,7 @@ def stream_fractions(spark, sf_dir):
 
 _REGISTERED = (
     density_labels, label_segments, trim_segments, stitch_segments, right_forks, left_forks, fork_bounds_signature, origins, terminations, stall_scores, paint_labels, read_gate, call_fractions, two_means, sized_segments,
-    dup_reads_anti, track_join, track_stats, runoff_observed, runoff_expected, runoff_ci, read_filter, index_join, index_missing, index_latest, basename_join, path_parts, semi_targets, topn_per_key, collect_signal,
+    dup_reads_anti, track_join, track_stats, runoff_observed, runoff_expected, runoff_ci, read_filter, index_join, index_missing, signal_join, reference_substring, event_calls, prefix_sums, densities, index_latest, basename_join, path_parts, semi_targets, topn_per_key, collect_signal,
     bedgraph_intervals, shards, quantile_scaling, theil_sen, prefix_tstat, event_segments, dbscan_noise, gmm_loglik, gmm_fit, kmer_counts, kmer_index, all_kmers, revcomp, positions_of_interest, kmer_model_join,
     mm_encode, mm_roundtrip, ml_quantise, cigar_refend, cigar_map, query_spans, log_space, hmm_forward, viterbi, banded_align, model_calls, stream_tumbling, stream_sliding, stream_session, stream_fractions,
 )

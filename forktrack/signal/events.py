@@ -82,20 +82,20 @@ class _Peak:
 def boundaries(signal: np.ndarray, config: EventConfig = EventConfig()) -> list[int]:
     """Event boundaries: a short-window peak above its threshold silences the long-window detector around it."""
     short, long = _Peak(config.short_window, config.short_threshold), _Peak(config.long_window, config.long_threshold)
-    series = [(short, t_statistic(signal, short.width)), (long, t_statistic(signal, long.width))]
+    series = [(short, t_statistic(signal, short.width).tolist()), (long, t_statistic(signal, long.width).tolist())]
     out = []
     for i in range(len(signal)):
         for peak, t in series:
             if peak.quiet_until >= i:
                 continue
             was_on = peak.at >= 0
-            found = peak.step(i, float(t[i]), config.peak_height)
+            found = peak.step(i, t[i], config.peak_height)
             if peak is short and was_on and short.value > short.threshold:
                 long.quiet_until = short.at + short.width
                 long.forget(float("inf"))
             if found is not None:
                 out.append(found)
-                peak.forget(float(t[i]))
+                peak.forget(t[i])
     return out
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,29 +39,33 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, key: list[str],
 def fractions(calls: DataFrame, config: ForkConfig = ForkConfig()) -> DataFrame:
     """Call-fraction windows of a stream of calls, emitted as they close: (read_id, start, n, brdu, edu).
 
-    State is the open window of each molecule, at most the calls since its last closed one; calls of a molecule
-    come in order of coordinate.
+    State is the open window of each molecule, at most the calls since its last closed one, and where that ended.
+    The calls that a trigger brings are sorted with the open ones before windows are cut, in however many frames they
+    come. A call from before the end of a window that an earlier trigger closed is too late and is left out.
     """
     t, span, least = config.call_threshold, config.fraction_span, config.fraction_calls
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        coords, brdu, edu = (list(x) for x in state.get) if state.exists else ([], [], [])
+        coords, brdu, edu, closed = state.get if state.exists else ([], [], [], None)
+        held = [(list(coords), list(brdu), list(edu))]
         for f in frames:
-            f = f.sort_values("coord")
-            coords += f["coord"].tolist()
-            brdu += (f["p_brdu"] > t).astype(int).tolist()
-            edu += ((f["p_edu"] > t) & ~(f["p_brdu"] > t)).astype(int).tolist()
+            f = f if closed is None else f[f["coord"] >= closed]
+            hit = f["p_brdu"] > t
+            held.append((f["coord"].tolist(), hit.astype(int).tolist(), ((f["p_edu"] > t) & ~hit).astype(int).tolist()))
+        coord, brdu, edu = (np.array([v for part in held for v in part[k]], np.int64) for k in range(3))
+        order = np.argsort(coord, kind="stable")
+        coord, brdu, edu = coord[order], brdu[order], edu[order]
         rows, used = [], 0
-        for a, b in window_ends(pd.Series(coords, dtype="int64").to_numpy(), span, least):
+        for a, b in window_ends(coord, span, least):
             n = b - a + 1
-            rows.append((key[0], coords[a], n, sum(brdu[a:b + 1]) / n, sum(edu[a:b + 1]) / n))
-            used = b + 1
-        state.update((coords[used:], brdu[used:], edu[used:]))
+            rows.append((key[0], int(coord[a]), n, brdu[a:b + 1].sum() / n, edu[a:b + 1].sum() / n))
+            used, closed = b + 1, int(coord[b])
+        state.update((coord[used:].tolist(), brdu[used:].tolist(), edu[used:].tolist(), closed))
         yield pd.DataFrame(rows, columns=["read_id", "start", "n", "brdu_fraction", "edu_fraction"])
 
     kind = calls.schema["read_id"].dataType.simpleString()
     return calls.select("read_id", F.col("coord").cast("long").alias("coord"), "p_brdu", "p_edu").groupBy("read_id").applyInPandasWithState(
-        run, f"read_id {kind}, start long, n long, brdu_fraction double, edu_fraction double", "coords array<long>, brdu array<int>, edu array<int>", "append", GroupStateTimeout.NoTimeout,
+        run, f"read_id {kind}, start long, n long, brdu_fraction double, edu_fraction double", "coords array<long>, brdu array<int>, edu array<int>, closed long", "append", GroupStateTimeout.NoTimeout,
     )
 
 

@@ -259,3 +259,31 @@ def test_bed_families(spark, table):
     families = forksense.bed_families(found, reads)
     assert len(families) == 8 and len(families["left_forks"].columns) == 9 and len(families["right_signatures"].columns) == 15
     assert families["edu_regions"].count() + families["brdu_regions"].count() == found.segments.count()
+
+
+@pytest.mark.parametrize("rows", [7, 512, 10_000])
+def test_streamed_fractions_do_not_depend_on_frames(spark, rows):
+    from forktrack import queries
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        d = "/root/testdata/sf0.001"
+        got = sorted(map(tuple, queries.stream_fractions(spark, d).drop("n").collect()))
+    finally:
+        spark.conf.set(key, before)
+    c = queries.calls(spark, d).toPandas().sort_values(["read_id", "coord"])
+    want = []
+    for read, g in c.groupby("read_id"):
+        coord, b, e = g["coord"].to_numpy(), (g["p_brdu"] > 0.5).to_numpy(), (g["p_edu"] > 0.5).to_numpy()
+        at = 0
+        while at < len(coord):
+            end = at + queries.CONFIG.fraction_calls - 1
+            while end < len(coord) and coord[end] - coord[at] <= queries.CONFIG.fraction_span:
+                end += 1
+            if end >= len(coord):
+                break
+            want.append((read, int(coord[at]), round(float(b[at:end + 1].mean()), 6), round(float((e & ~b)[at:end + 1].mean()), 6)))
+            at = end + 1
+    assert got == sorted(want)
