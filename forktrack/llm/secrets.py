@@ -10,6 +10,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
-# How sensitive a part of a target's name is; two-part names are looked up joined.
+# How sensitive a part of a target's name is; two-part names are looked up joined.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 0.9,
     "accesskey": 0.9, "privatekey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "authkey": 0.9, "secretkey": 1.0,
     "credential": 0.9, "credentials": 0.9, "bearer": 0.7, "authorization": 0.7, "auth": 0.6,
 }
-# Literals that stand for a secret without being one.
+# Literals that stand for a secret without being one.
 PLACEHOLDERS = {"password", "changeme", "example", "secret", "placeholder", "undefined", "redacted", "your_password"}
 
-_OPERATOR = re.compile(r"[:=!<>+*/|&^%-]*[:=]>?")
+_MARKS = re.compile(r"[:=!<>+*/|&^%-]+")
 _VALUE = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)|([^\s"'`,;(){}\[\]<>#]+))""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
@@ -69,11 +70,20 @@ def _target(text: str, at: int) -> str:
     return name
 
 
+def operators(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may assign: each run of marks up to its last ``:`` or ``=`` and a ``>`` after that."""
+    for m in _MARKS.finditer(text):
+        run = m.group()
+        last = max(run.rfind(":"), run.rfind("="))
+        if last >= 0:
+            yield m.start(), m.start() + last + 1 + run.startswith(">", last + 1)
+
+
 def pairs(text: str) -> list[tuple[str, int, int, bool]]:
     """(name, literal's start, its end, whether it is quoted) of each assignment, in order."""
     out = []
-    for m in _OPERATOR.finditer(text):
-        if m.group() in _ASSIGNING and (v := _VALUE.match(text, m.end())) and (name := _target(text, m.start())):
+    for start, end in operators(text):
+        if text[start:end] in _ASSIGNING and (v := _VALUE.match(text, end)) and (name := _target(text, start)):
             group = next(g for g in (1, 2, 3, 4) if v.group(g) is not None)
             out.append((name, v.start(group), v.end(group), group != 4))
     return out

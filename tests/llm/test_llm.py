@@ -218,6 +218,14 @@ def test_secret_spans(spark, odd, none):
     assert secrets.scan_documents(odd).count() == odd.count() and secrets.scan_documents(none).count() == 0
 
 
+def test_operators_in_linear_time():
+    r, plain = random.Random(13), re.compile(r"[:=!<>+*/|&^%-]*[:=]>?")
+    for _ in range(5000):
+        text = "".join(r.choice(":=!<>+-a ") for _ in range(r.randrange(14)))
+        assert list(secrets.operators(text)) == [m.span() for m in plain.finditer(text)], text
+    assert secrets.scan_text("-" * 2_000_000 + " password = 'Zx9!fQ27pLm_w8'")[1]
+
+
 # 5 and 7: classifiers
 
 
