@@ -69,14 +69,18 @@ def sign(lines: list[str]) -> np.ndarray:
         slot = owner * BINS + ((h.astype(U64) * U64(BINS)) >> U64(32)).astype(np.int64)
         np.minimum.at(best, slot, h * np.uint32(0x9E3779B1) >> np.uint32(1))
     grid = best.reshape(-1, BINS)
-    some = np.flatnonzero((grid == _EMPTY).any(1) & (grid != _EMPTY).any(1))
+    gaps = grid == _EMPTY
+    some = np.flatnonzero(gaps.any(1) & ~gaps.all(1))
     filled, full = grid[some], grid[some]
+    row, bin_ = np.nonzero(gaps[some])
     for step in _WALK:
-        gap = filled == _EMPTY
-        if not gap.any():
+        if not len(row):
             break
-        filled = np.where(gap, full[:, step], filled)
-    for _ in range(2):
+        found = full[row, step[bin_]]
+        filled[row, bin_] = found
+        left = found == _EMPTY
+        row, bin_ = row[left], bin_[left]
+    for _ in range(2 if len(row) else 0):
         for k in range(BINS - 1, -1, -1):
             gap = filled[:, k] == _EMPTY
             filled[gap, k] = filled[gap, (k + 1) % BINS]
@@ -110,7 +114,7 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def elements(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line index, shingle) of all lines, by line, each shingle once."""
     owner, item = (np.concatenate(x) for x in zip(*([(np.zeros(0, np.int64), np.zeros(0, np.uint32))] + list(_line_shingles(lines)))))
-    key = np.unique(owner.astype(U64) << U64(32) | item.astype(U64))
+    key = textops.distinct(owner.astype(U64) << U64(32) | item.astype(U64))
     return (key >> U64(32)).astype(np.int64), key & U64(0xFFFFFFFF)
 
 
@@ -149,22 +153,22 @@ def _blocks(buckets: int, batch_chars: int):
     return run
 
 
-def _lines(with_text: bool):
-    """Non-blank lines of (id, text) rows: (id, line, node), or once a batch (node, text)."""
+def _places(batches):
+    """(id, line, node) of each non-blank line of (id, text) rows."""
+    for b in batches:
+        keys, texts = b.column(0), b.column(1).to_pylist()
+        for at in range(0, len(texts), 128):
+            lines = [split(t) for t in texts[at:at + 128]]
+            flat = [(i, k, line) for i, own in enumerate(lines) for k, line in enumerate(own) if line]
+            node = pa.array(node_ids([f[2] for f in flat]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array([at + f[0] for f in flat], pa.int64())), pa.array([f[1] for f in flat], pa.int32()), node], ["id", "line", "node"])
 
-    def run(batches):
-        for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for at in range(0, len(texts), 128):
-                lines = [split(t) for t in texts[at:at + 128]]
-                flat = [(i, k, line) for i, own in enumerate(lines) for k, line in enumerate(own) if line]
-                node = pa.array(node_ids([f[2] for f in flat]).view(np.int64))
-                if with_text:
-                    yield pa.RecordBatch.from_arrays([node, pa.array([f[2] for f in flat], pa.string())], ["node", "text"])
-                else:
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([at + f[0] for f in flat], pa.int64())), pa.array([f[1] for f in flat], pa.int32()), node], ["id", "line", "node"])
 
-    return run
+def _nodes(batches):
+    """(node, text) of the non-blank lines of texts, each once a batch."""
+    for b in batches:
+        lines = list(dict.fromkeys(line for t in b.column(0).to_pylist() for line in split(t) if line))
+        yield pa.RecordBatch.from_arrays([pa.array(node_ids(lines).view(np.int64)), pa.array(lines, pa.string())], ["node", "text"])
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 9_000_000) -> DataFrame:
@@ -177,10 +181,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = near.few(nodes, nodes.count())
-        return rows.mapInArrow(runtime.lean(_lines(True)), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return rows.select("text").mapInArrow(runtime.lean(_nodes), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     roots = near.groups(blocks, texts_of, sign, similarity, THRESHOLD, elements, ODD)
-    places = runtime.stored(rows.mapInArrow(runtime.lean(_lines(False)), f"id {id_type}, line int, node long"), "places")
+    places = runtime.stored(rows.mapInArrow(runtime.lean(_places), f"id {id_type}, line int, node long"), "places")
     known = near.few(roots, roots.count())
     rooted = places.join(known, "node", "left").select("id", "line", F.coalesce("root", "node").alias("root"))
     none = F.max(F.col("id").isNull())

@@ -108,13 +108,16 @@ def jaccard(n: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray
     """Similarity of ``n`` pairs of (pair index, element) collections: of their counts if weighted, else of their sets."""
     room = U64(max(1, (max(n, 1) - 1).bit_length()))
     away = U64(64) - room
-    (a, na), (b, nb) = (np.unique(owner.astype(U64) << away | item >> room, return_counts=True) for owner, item in (left, right))
-    if not weighted:
-        na, nb = np.ones_like(na), np.ones_like(nb)
-    place = np.searchsorted(b, a)
-    hit = np.flatnonzero(place < len(b))
-    hit = hit[b[place[hit]] == a[hit]]
-    both = np.bincount((a[hit] >> away).astype(np.int64), np.minimum(na[hit], nb[place[hit]]), n)
+    keys = [owner.astype(U64) << away | item >> room for owner, item in (left, right)]
+    if weighted:
+        (a, na), (b, nb) = (np.unique(k, return_counts=True) for k in keys)
+    else:
+        a, b = map(textops.distinct, keys)
+        na, nb = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+    merged = np.sort(np.concatenate([a, b]))
+    hit = merged[:-1][merged[1:] == merged[:-1]]
+    least = np.minimum(na[np.searchsorted(a, hit)], nb[np.searchsorted(b, hit)]) if weighted else None
+    both = np.bincount((hit >> away).astype(np.int64), least, n)
     total = np.bincount((a >> away).astype(np.int64), na, n) + np.bincount((b >> away).astype(np.int64), nb, n)
     return both / np.maximum(total - both, 1)
 
