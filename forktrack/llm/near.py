@@ -38,19 +38,29 @@ def _stars(values: np.ndarray, nodes: np.ndarray, degree: np.ndarray) -> tuple[n
     A node may have several entries of a value and counts once. The hub is the node that shares most values with
     others: the text that copies were made from, if it is there, is nearer to each than they are to one another.
     """
-    order = np.lexsort((nodes, -degree.astype(np.int64), values))
+    order = np.argsort(values)
+    v = values[order]
+    same = v[1:] == v[:-1]
+    shared = np.append(False, same) | np.append(same, False) if len(v) else np.zeros(0, bool)
+    alone, order = order[~shared], order[shared]
+    order = order[np.lexsort((nodes[order], -degree[order].astype(np.int64), values[order]))]
+    if not len(order):
+        return alone, np.zeros((0, 4), U64)
     v, n, d = values[order], nodes[order], degree[order].astype(U64)
-    first = np.ones(len(v), bool)
-    first[1:] = v[1:] != v[:-1]
+    first = np.append(True, v[1:] != v[:-1])
     at = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    if not len(v):
-        return order, np.zeros((0, 4), U64)
     hub = at[group]
     other = n != n[hub]
     crowd = (np.minimum.reduceat(np.where(other, n, ~U64(0)), at) < np.maximum.reduceat(np.where(other, n, U64(0)), at)).astype(U64)
     rest = np.flatnonzero(other)
-    return order[first], np.stack([n[rest], n[hub[rest]], d[hub[rest]], crowd[group[rest]]], 1)
+    return np.append(alone, order[first]), np.stack([n[rest], n[hub[rest]], d[hub[rest]], crowd[group[rest]]], 1)
+
+
+def _different(links: np.ndarray) -> np.ndarray:
+    """The different rows of an array of links."""
+    links = links[np.lexsort(links.T)]
+    return links[np.append(True, (links[1:] != links[:-1]).any(1))] if len(links) else links
 
 
 def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -64,7 +74,7 @@ def pack(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
     degree = np.repeat(np.add.reduceat(count[inverse], np.arange(0, len(values), width)) if len(values) else count, width).astype(np.uint32)
     keep, found = _stars(values, nodes, degree)
     values, nodes, degree = values[keep], nodes[keep], degree[keep]
-    found = np.unique(found, axis=0)
+    found = _different(found)
     spread = (values % U64(buckets)).astype(np.int64)
     order = np.argsort(spread, kind="stable")
     cut = np.searchsorted(spread[order], np.arange(buckets + 1))
@@ -85,7 +95,7 @@ def _link(table: pa.Table) -> pa.Table:
         degree.append(np.frombuffer(entries, "<u4", n, 16 * n))
         found.append(np.frombuffer(links, U64).reshape(-1, 4))
     found.append(_stars(np.concatenate(values), np.concatenate(nodes), np.concatenate(degree))[1])
-    every = np.unique(np.concatenate(found), axis=0).view(np.int64)
+    every = _different(np.concatenate(found)).view(np.int64)
     return pa.table({"a": pa.array(every[:, 0]), "b": pa.array(every[:, 1]), "degree": pa.array(every[:, 2]), "crowd": pa.array(every[:, 3])})
 
 
@@ -228,6 +238,12 @@ def _differing(words: int, left: str, right: str) -> Column:
     return reduce(operator.add, [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(words)])
 
 
+def _differing_folded(left: str, right: str) -> Column:
+    """The same over whole arrays: a sum of 64 terms makes a method too long for the JVM to compile."""
+    bits = F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def could_be_similar(threshold: float, odd_bits: int) -> Column:
     """Whether a pair (columns of ``SKETCH``, and those of the other with ``other_``) may reach the threshold.
 
@@ -237,7 +253,7 @@ def could_be_similar(threshold: float, odd_bits: int) -> Column:
     most = (F.col("size") + F.col("other_size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(2.0)
     drawn = most / RATE
     limit = F.when(F.col("rate") == 1, most).otherwise(drawn + F.sqrt(drawn) * 5 + 2)
-    by_wide = (F.col("rate") != F.col("other_rate")) | (_differing(WIDE // 64, "wide", "other_wide") <= limit)
+    by_wide = (F.col("rate") != F.col("other_rate")) | (_differing_folded("wide", "other_wide") <= limit)
     return (F.abs(F.col("size") - F.col("other_size")) <= most) & (_differing(odd_bits // 64, "odd", "other_odd") <= most) & F.coalesce(by_wide, F.lit(True))
 
 
