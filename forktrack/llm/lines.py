@@ -135,7 +135,7 @@ def _blocks(buckets: int, batch_chars: int):
 
         def flush():
             lines = list(seen)
-            values = np.concatenate([sign(lines[at:at + 1024]) for at in range(0, len(lines), 1024)])
+            values = np.concatenate([sign(lines[at:at + 256]) for at in range(0, len(lines), 256)])
             return near.pack(values, node_ids(lines), buckets)
 
         for b in batches:
