@@ -414,6 +414,17 @@ def test_sketches_let_similar_pairs_through(spark):
         assert len(alike) > len(texts) and alike <= passed and len(passed) < len(pairs) / 3
 
 
+def test_distinct_and_folded_sketches(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50):
+        x = rng.integers(0, 9, n).astype(np.uint64)
+        assert textops.distinct(x).tolist() == sorted(set(x.tolist()))
+    a, b = (rng.integers(-(2**63), 2**63 - 1, 64).tolist() for _ in range(2))
+    df = spark.createDataFrame([(a, b), (None, b)], "l array<long>, r array<long>")
+    got = [r[0] for r in df.select(near._differing_folded("l", "r")).collect()]
+    assert got == [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)), None]
+
+
 def test_jaccard_counts_or_sets():
     left = (np.array([0, 0, 0, 2]), np.array([1 << 40, 1 << 40, 2 << 40, 5 << 40], np.uint64))
     right = (np.array([0, 2, 2]), np.array([1 << 40, 5 << 40, 6 << 40], np.uint64))
