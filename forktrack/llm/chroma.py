@@ -6,7 +6,8 @@ frame. Two recordings are aligned by the histogram of offsets at which they shar
 the share of differing bits where they overlap at the best offset.
 
 Null and undecodable recordings, and ones too short for a filter, have an empty fingerprint, are in a class of
-their own and align with nothing. Recordings of equal fingerprint are one class, named by the least id.
+their own and align with nothing. Recordings of equal fingerprint are one class, named by the least id;
+an id that names several recordings may name several classes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +134,44 @@ def fingerprints(audio: Column, render: Callable[[object], bytes | None] | None
     return run(audio)
 
 
+#: Frames of the query recordings that one block holds, about 20 MB of a task; a longer one is a block of its own.
+BLOCK_FRAMES = 1_000_000
+#: Equal pairs of frames that are written out at a time.
+EXPAND = 1 << 20
+
+
+def offset_counts(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How often the two fingerprints share an integer at each offset, from ``1 - len(own)`` to ``len(other) - 1``.
+
+    Integers that both hold seldom are counted pair by pair, the others (silence, held tones) by a correlation of
+    their places, whose memory grows with the lengths and not with their product.
+    """
+    n, m = len(own), len(other)
+    total = np.zeros(n + m - 1, np.int64)
+    width = 1 << (n + m - 2).bit_length()
+    ours, theirs = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    values = np.intersect1d(own, other)
+    a, b = own[ours], other[theirs]
+    a0, a1, b0, b1 = (np.searchsorted(x, values, side) for x in (a, b) for side in ("left", "right"))
+    held, size = [], 0
+    for i0, i1, j0, j1 in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist()):
+        i, j = ours[i0:i1], theirs[j0:j1]
+        if len(i) * len(j) <= 8 * (n + m):
+            held.append((j[:, None] - i + n - 1).ravel())
+            size += len(held[-1])
+            if size > EXPAND:
+                total += np.bincount(np.concatenate(held), minlength=n + m - 1)
+                held, size = [], 0
+        else:
+            left, right = np.zeros(width), np.zeros(width)
+            left[n - 1 - i] = 1
+            right[j] = 1
+            total += np.rint(np.fft.irfft(np.fft.rfft(left) * np.fft.rfft(right), width)[:n + m - 1]).astype(np.int64)
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=n + m - 1)
+    return total
+
+
 class Index:
     """Integers of a block of recordings, sorted, with the recording and frame of each."""
 
@@ -140,76 +180,152 @@ class Index:
         n = np.fromiter(map(len, prints), np.int64, len(prints))
         value = np.concatenate([np.zeros(0, np.uint32), *prints])
         order = np.argsort(value, kind="stable")
-        self.value = value[order]
+        self.length, self.value = n, value[order]
         self.owner = np.repeat(np.arange(len(n)), n)[order]
         self.frame = (np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n))[order]
 
+    def _best(self, own: np.ndarray, shared: int):
+        """(recording, best offset) of those that share ``shared`` integers with ``own`` at one offset; the least of
+        equally good offsets.
+
+        Recordings that share few integers in all are counted together, some at a time; one that shares many more
+        than it has frames is counted by itself.
+        """
+        places = np.argsort(own, kind="stable")
+        values, start, count = np.unique(own[places], return_index=True, return_counts=True)
+        lo, hi = np.searchsorted(self.value, values, "left"), np.searchsorted(self.value, values, "right")
+        n = hi - lo
+        entry = _runs(lo, n)
+        start, count = np.repeat(start, n), np.repeat(count, n)
+        owner = self.owner[entry]
+        hits = np.bincount(owner, count, len(self.ids)).astype(np.int64)
+        many = hits > 64 * (len(own) + self.length)
+        for w in np.flatnonzero(many).tolist():
+            total = offset_counts(own, self.prints[w])
+            k = int(total.argmax())
+            if total[k] >= shared:
+                yield w, k + 1 - len(own)
+        use = np.flatnonzero((hits >= shared)[owner] & ~many[owner])
+        use = use[np.argsort(owner[use], kind="stable")]
+        owner, entry, start, count = owner[use], entry[use], start[use], count[use]
+        ends = np.append(np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner))
+        upto = np.append(0, np.cumsum(count))
+        wide, at = 1 << 32, 0
+        while at < len(owner):
+            # Whole recordings, as many as the bound allows and one at least.
+            last = np.searchsorted(upto[ends], upto[at] + EXPAND, "right") - 1
+            fit = ends[max(last, np.searchsorted(ends, at, "right"))]
+            each = count[at:fit]
+            offset = np.repeat(self.frame[entry[at:fit]], each) - places[_runs(start[at:fit], each)]
+            key, total = np.unique(np.repeat(owner[at:fit], each) * wide + offset + wide // 2, return_counts=True)
+            who = key // wide
+            order = np.lexsort((-total, who))
+            first = np.ones(len(order), bool)
+            first[1:] = who[order][1:] != who[order][:-1]
+            for k in order[first & (total[order] >= shared)].tolist():
+                yield int(who[k]), int(key[k] % wide) - wide // 2
+            at = int(fit)
+
     def align(self, own: np.ndarray, shared: int, overlap: int, error: float) -> list[tuple[int, int, float]]:
         """(recording of the block, offset, share of differing bits) of those that align with ``own``."""
-        lo, hi = np.searchsorted(self.value, own, "left"), np.searchsorted(self.value, own, "right")
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        offset = self.frame[at] - np.repeat(np.arange(len(own)), n)
-        wide = 1 << 32
-        key, count = np.unique(self.owner[at] * wide + offset + wide // 2, return_counts=True)
-        who = key // wide
         out = []
-        order = np.lexsort((-count, who))
-        first = np.ones(len(order), bool)
-        first[1:] = who[order][1:] != who[order][:-1]
-        for k in order[first & (count[order] >= shared)].tolist():
-            w, shift = int(who[k]), int(key[k] % wide) - wide // 2
+        if not len(own) or not len(self.value):
+            return out
+        for w, shift in self._best(own, shared):
             other = self.prints[w]
             a, b = max(0, -shift), min(len(own), len(other) - shift)
             if b - a >= overlap:
                 differing = np.bitwise_count(own[a:b] ^ other[a + shift:b + shift]).sum() / (32 * (b - a))
                 if differing <= error:
                     out.append((w, shift, float(differing)))
-        return out
+        return sorted(out)
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``n`` of each, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def aligned(media: DataFrame, id_col: str, audio_col: str, render: Callable[[object], bytes | None] | None = None, every: int = 20, shared: int = 4, overlap: int = 16, error: float = 0.2, block: int = 4096) -> DataFrame:
+def _write_blocks(asking: DataFrame, path: str, frames: int) -> list[str]:
+    """Write (class_id, print) rows as files of at most ``frames`` frames, or one recording; their names.
+
+    Tasks write them, named by task and turn, so that a task that is run again replaces its own.
+    """
+
+    def run(batches):
+        store, part, turn = runtime.FileStore(path), TaskContext.get().partitionId(), 0
+        ids, prints, size = [], [], 0
+
+        def flush():
+            name = f"{part}-{turn}"
+            head = np.array([len(ids), *ids, *map(len, prints)], "<i8").tobytes()
+            store.write(name, lambda f: f.write(head + b"".join(prints)))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for b in batches:
+            for class_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if ids and size + len(data) > 4 * frames:
+                    yield flush()
+                    ids, prints, size, turn = [], [], 0, turn + 1
+                ids.append(class_id)
+                prints.append(data)
+                size += len(data)
+        if ids:
+            yield flush()
+
+    total = asking.agg(F.sum(F.length("print"))).first()[0] or 0
+    dealt = asking.select("class_id", "print").repartition(-(-total // (4 * frames)) or 1, "class_id")
+    return sorted(r.name for r in runtime.stored(dealt.mapInArrow(runtime.lean(run), "name string"), "block-names").collect())
+
+
+def _read_block(path: str, name: str) -> Index:
+    with runtime.FileStore(f"{path}/{name}").open() as f:
+        data = f.read()
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ids, size = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n)
+    every = np.frombuffer(data, "<u4", offset=8 + 16 * n)
+    return Index(ids.tolist(), [x.astype(np.uint32) for x in np.split(every, np.cumsum(size // 4)[:-1])])
+
+
+def aligned(media: DataFrame, id_col: str, audio_col: str, render: Callable[[object], bytes | None] | None = None, every: int = 20, shared: int = 4, overlap: int = 16, error: float = 0.2, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """(id, class_id, n_frames, n_links) of every row.
 
     ``n_links`` counts other classes, among those with an id divisible by ``every``, that align with the row's:
-    at least ``shared`` equal integers at the best offset, ``overlap`` frames there, at most ``error`` bits
-    differing. Query classes are read in blocks, each broadcast; rows meet them as classes, so copies cost once.
+    at least ``shared`` equal integers at the best offset (the least, if several are equally good), ``overlap`` frames
+    there, at most ``error`` bits differing. Query classes are files of blocks in the shared folder, which the tasks
+    of one scan read one by one for the rows they hold; only the blocks' names come to the driver. Rows meet them as
+    classes, so copies cost once. A recording of any length, and integers that any number of recordings share, are
+    counted exactly within a bound of memory that grows with the two lengths.
     """
     spark = media.sparkSession
     runtime.prepare(spark)
     prints = runtime.stored(media.select(F.col(id_col).alias("id"), fingerprints(F.col(audio_col), render).alias("print")), "prints")
     full = prints.where(F.length("print") > 0)
-    classes = runtime.stored(full.groupBy("print").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asks")), "print-classes")
-    links = spark.createDataFrame([], "class_id long, query long")
-    asking = classes.where("asks and class_id is not null").select("class_id", "print").orderBy("class_id").toLocalIterator()
-    held: list = []
-
-    def match(rows):
-        index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [np.frombuffer(r[1], "<u4") for r in rows]))
-
-        def run(batches):
-            for b in batches:
-                own, query = [], []
-                for class_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for w, _, _ in index.value.align(np.frombuffer(data, "<u4"), shared, overlap, error):
-                        if index.value.ids[w] != class_id:
-                            own.append(class_id)
-                            query.append(index.value.ids[w])
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(query, pa.int64())], ["class_id", "query"])
-
-        return classes.where("class_id is not null").select("class_id", "print").mapInArrow(runtime.lean(run), "class_id long, query long")
-
-    for row in asking:
-        held.append((row.class_id, bytes(row.print)))
-        if len(held) == block:
-            links = links.unionByName(match(held))
-            held = []
-    if held:
-        links = links.unionByName(match(held))
-    counted = links.groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = runtime.stored(classes.join(counted, "class_id", "left").select("print", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "print-links")
-    known = near.few(named.withColumnRenamed("print", "known"), named.count())
+    classes = runtime.stored(full.groupBy("print").agg(F.min("id").cast("long").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asks")), "print-classes")
+    path = runtime.fresh_path(spark, "print-blocks")
+    names = _write_blocks(classes.where("asks"), path, block_frames)
+
+    def run(batches):
+        last: list = [None, None]
+
+        def block(name):
+            if last[0] != name:
+                last[:] = name, _read_block(path, name)
+            return last[1]
+
+        for b in batches:
+            rows = [(i, np.frombuffer(data, "<u4")) for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            n = np.zeros(len(rows), np.int64)
+            for name in names:
+                index = block(name)
+                for k, (class_id, own) in enumerate(rows):
+                    found = index.align(own, shared, overlap, error)
+                    n[k] += sum(index.ids[w] != class_id or not np.array_equal(index.prints[w], own) for w, _, _ in found)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["class_id", "known", "n_links"])
+
+    linked = classes.select("class_id", "print").mapInArrow(runtime.lean(run), "class_id long, known binary, n_links long")
+    linked = runtime.stored(linked, "print-links")
+    known = near.few(linked, linked.count())
     joined = prints.join(known, F.col("print") == F.col("known"), "left")
     return joined.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),

@@ -548,6 +548,46 @@ def test_alignment_recall_against_brute_force():
     assert want >= 15 and found >= 0.9 * want
 
 
+def test_offset_counts_against_every_pair():
+    """Held tones and silence: integers that all frames share, by correlation, and rare ones, pair by pair."""
+    r = np.random.default_rng(12)
+    for n, m, kinds in ((1, 1, 1), (300, 500, 2), (700, 40, 3), (200, 200, 150), (900, 800, 5)):
+        own, other = (r.integers(0, kinds, k).astype(np.uint32) for k in (n, m))
+        want = [int((own[max(0, -s):min(n, m - s)] == other[max(0, -s) + s:min(n, m - s) + s]).sum()) for s in range(1 - n, m)]
+        assert chroma.offset_counts(own, other).tolist() == want
+
+
+def test_alignment_of_held_tones_against_every_pair(monkeypatch):
+    r = np.random.default_rng(13)
+    prints = [r.integers(0, kinds, n).astype(np.uint32) for n, kinds in ((400, 1), (600, 2), (30, 50), (80, 40), (500, 3), (300, 300), (16, 2))]
+
+    def brute(own):
+        for w, other in enumerate(prints):
+            n, m = len(own), len(other)
+            count, s = max((int((own[max(0, -s):min(n, m - s)] == other[max(0, -s) + s:min(n, m - s) + s]).sum()), -s) for s in range(1 - n, m))
+            a, b = max(0, s), min(n, m + s)
+            error = np.bitwise_count(own[a:b] ^ other[a - s:b - s]).sum() / (32 * (b - a))
+            if count >= 4 and b - a >= 16 and error <= 0.2:
+                yield w, -s, float(error)
+
+    index = chroma.Index(list(range(len(prints))), prints)
+    for expand in (1, 1000, 1 << 20):
+        monkeypatch.setattr(chroma, "EXPAND", expand)
+        for own in prints:
+            assert index.align(own, 4, 16, 0.2) == list(brute(own))
+
+
+def test_recordings_in_blocks(spark):
+    """Blocks of one recording give what one block gives; an id may name two recordings, or none."""
+    r = np.random.default_rng(14)
+    notes = [r.integers(0, 24, 40).astype(float) for _ in range(4)]
+    rows = [(20 * k, chroma.tone_wav(np.concatenate([notes[k % 4][k:], notes[(k + 1) % 4][:k]]))) for k in range(10)]
+    rows += [(20, rows[5][1]), (None, rows[0][1]), (None, chroma.tone_wav(notes[2][3:])), (7, chroma.tone_wav(np.zeros(60))), (40, chroma.tone_wav(np.zeros(90)))]
+    table = spark.createDataFrame(rows, "id long, audio binary")
+    got = [sorted(map(str, chroma.aligned(table, "id", "audio", block_frames=n).collect())) for n in (1, 100, 1 << 20)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 # 10: ORC token files
 
 
