@@ -262,6 +262,29 @@ SQL = {
     "query_spans": "WITH " + ALIGNMENTS + " SELECT read_id, max(query_idx) FILTER (ref_idx = total - 1) - max(query_idx) FILTER (ref_idx = 0) AS query_span FROM mapped GROUP BY read_id",
     "log_space": """SELECT vec_id, round(sum(x + x * x), 5) AS total, count(*) FILTER (x > x * x) AS greater
       FROM (SELECT vec_id, abs(CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings) GROUP BY vec_id""",
+    # Probabilities of match, insertion, deletion and lead, scaled at each value; the operator adds logarithms.
+    "hmm_forward": """WITH RECURSIVE m AS (
+        SELECT vec_id, sign, x, n, [low + k * 0.6 / (n - 1) for k in range(n)] AS mean
+        FROM (SELECT vec_id, coalesce(embedding, [])::DOUBLE[] AS x, greatest(12, (len(coalesce(embedding, [])) + 1) // 2) AS n FROM embeddings),
+             (VALUES (-1, -0.3::DOUBLE), (1, -0.2::DOUBLE)) v(sign, low)
+      ), f AS (
+        SELECT vec_id, sign, 0 AS j, [0.0::DOUBLE for k in range(n)] AS nm, [0.0::DOUBLE for k in range(n)] AS ni,
+               [0.25 * pow(0.3::DOUBLE, k) for k in range(n)] AS nd, 0.0::DOUBLE AS nl, 1.0::DOUBLE AS start, 0.0::DOUBLE AS total FROM m
+        UNION ALL
+        SELECT vec_id, sign, j, [v / z for v in nm], [v / z for v in ni], [v / z for v in nd], nl / z, 0.0::DOUBLE, total + ln(z)
+        FROM (
+          SELECT vec_id, sign, j, nm, ni, nl, total, list_sum(nm) + list_sum(ni) + nl AS z,
+                 [list_sum([(CASE WHEN c = 1 THEN nl * 0.25 ELSE nm[c - 1] * 0.0025 END) * pow(0.3::DOUBLE, b - c) for c in range(1, b + 1)]) for b in range(1, n + 1)] AS nd
+          FROM (
+            SELECT vec_id, sign, f.j + 1 AS j, n, total, (start + nl) * 0.25 AS nl, [ni[b] * 0.001 + nm[b] * 0.001 for b in range(1, n + 1)] AS ni,
+                   [exp(-12.5 * pow(x[f.j + 1] - mean[b], 2)) / (0.2 * sqrt(2 * pi())) * CASE WHEN b = 1 THEN (start + nl) * 0.5 + nm[1] / 3
+                     ELSE ni[b - 1] * 0.999 + nm[b - 1] * (2.0 / 3 - 0.0035) + nm[b] / 3 + nd[b - 1] * 0.7 END for b in range(1, n + 1)] AS nm
+            FROM f JOIN m USING (vec_id, sign) WHERE f.j < len(x)
+          )
+        )
+      )
+      SELECT vec_id, round(sum(sign * (total + ln(nd[n] + nm[n] * (2.0 / 3 - 0.001) + ni[n] * 0.999))), 6) AS log_ratio
+      FROM f JOIN m USING (vec_id, sign) WHERE j = len(x) GROUP BY vec_id""",
     "stream_tumbling": f"SELECT w AS window_start, w + {DAY} AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT epoch_us(ts) // {DAY} * {DAY} AS w, event_type, value FROM events) GROUP BY w, event_type",
     "stream_sliding": f"SELECT w AS window_start, w + {DAY} AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT (epoch_us(ts) // {DAY // 2} - unnest([0, 1])) * {DAY // 2} AS w, value FROM events) GROUP BY w",
     "stream_session": f"""SELECT min(t) AS window_start, max(t) + {DAY // 4} AS window_end, user_id, count(*) AS n FROM (
