@@ -43,6 +43,22 @@ def reference_to_query(alignments: DataFrame, key: str = "read_id", ops: str = "
     return each.select(key, (F.col("r0") + F.col("x")).alias("ref_idx"), F.when(deleted, F.col("q0")).otherwise(F.col("q0") + F.col("x")).alias("query_idx"), deleted.alias("is_del"))
 
 
+def query_at(ops: Column, is_reverse: Column, ref_idx: Column) -> Column:
+    """The query_idx that ``reference_to_query`` has at a ref_idx, read from the operations; null outside the read."""
+    ordered = F.when(is_reverse, F.reverse(ops)).otherwise(ops)
+    zero = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("at"))
+
+    def step(s, o):
+        on_reference, deleted = o["op"].isin(*REFERENCE), o["op"].isin("D", "N")
+        here = on_reference & (ref_idx >= s["r"]) & (ref_idx < s["r"] + o["len"])
+        return F.struct(
+            (s["r"] + F.when(on_reference, o["len"]).otherwise(0)).alias("r"), (s["q"] + F.when(o["op"].isin(*QUERY), o["len"]).otherwise(0)).alias("q"),
+            F.when(here, F.when(deleted, s["q"]).otherwise(s["q"] + ref_idx.cast("long") - s["r"])).otherwise(s["at"]).alias("at"),
+        )
+
+    return F.aggregate(ordered, zero, step)["at"]
+
+
 def query_to_reference(alignments: DataFrame, key: str = "read_id", ops: str = "ops", reverse: str = "is_reverse") -> DataFrame:
     """(key, query_idx, ref_idx) of every query base; inserted and clipped bases go on from where the reference is."""
     rows = _ops(alignments, key, ops, reverse).where(F.col("op").isin(*QUERY))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForkConfig
+from ..functions import cigar
 from .density import positive
 from .match import fork_pairs
 from .segment import rows_of
@@ -67,18 +68,16 @@ def signatures(forks: DataFrame, calls: DataFrame, config: ForkConfig = ForkConf
     )
 
 
-def query_span(forks: DataFrame, reads: DataFrame, cigar_map: DataFrame) -> DataFrame:
-    """Forks with the distance on the query between their ends, through the reference-to-query map.
+def query_span(forks: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Forks with the distance on the query between their ends, through the operations of their alignments.
 
-    ``reads``: read_id, ref_start, ref_end, is_reverse; ``cigar_map``: read_id, ref_idx, query_idx.
+    ``alignments``: read_id, ref_start, ref_end, is_reverse, ops. They are as many as the forks, so they are never
+    broadcast, however small their files are; bases are not written out.
     """
-    placed = forks.join(reads.select("read_id", "ref_start", "ref_end", "is_reverse"), "read_id")
+    placed = forks.join(alignments.select("read_id", "ref_start", "ref_end", "is_reverse", "ops").hint("merge"), "read_id")
 
     def at(column):
-        return F.when(F.col("is_reverse"), F.col("ref_end") - F.col(column)).otherwise(F.col(column) - F.col("ref_start"))
+        index = F.when(F.col("is_reverse"), F.col("ref_end") - F.col(column)).otherwise(F.col(column) - F.col("ref_start"))
+        return cigar.query_at(F.col("ops"), F.col("is_reverse"), index)
 
-    out = placed.withColumn("_l", at("left_coord")).withColumn("_r", at("right_coord"))
-    for side in ("l", "r"):
-        m = cigar_map.select("read_id", F.col("ref_idx").alias(f"_{side}"), F.col("query_idx").alias(f"_q{side}"))
-        out = out.join(m, ["read_id", f"_{side}"], "left")
-    return out.withColumn("query_span", F.abs(F.col("_qr") - F.col("_ql"))).drop("_l", "_r", "_ql", "_qr", "ref_start", "ref_end", "is_reverse")
+    return placed.withColumn("query_span", F.abs(at("right_coord") - at("left_coord"))).drop("ref_start", "ref_end", "is_reverse", "ops")

@@ -479,7 +479,7 @@ def query_spans(spark, sf_dir):
     """Distance on the query between the first and last reference base of every alignment, by strand."""
     a = _alignments(spark, sf_dir).withColumn("ref_start", F.col("pos")).withColumn("ref_end", cigar.reference_end(F.col("pos"), F.col("ops")))
     ends = a.select("read_id", F.when(F.col("is_reverse"), F.col("ref_start") + 1).otherwise(F.col("ref_start")).alias("left_coord"), F.when(F.col("is_reverse"), F.col("ref_end")).otherwise(F.col("ref_end") - 1).alias("right_coord"))
-    return forks.query_span(ends, a, cigar.reference_to_query(a)).select("read_id", "query_span")
+    return forks.query_span(ends, a).select("read_id", "query_span")
 
 
 # Probabilities and models

@@ -244,6 +244,27 @@ def test_noise_and_thinning(spark):
     assert kept == list(range(50, 350, 3))[:100]
 
 
+def test_query_span_by_the_map_without_broadcasts(spark):
+    """Against the map written out base by base; the join is a shuffle even where files are below the threshold."""
+    from forktrack import queries
+    from forktrack.functions import cigar
+
+    r = random.Random(5)
+    rows = [(f"r{k}", 100, "".join(f"{r.randint(1, 5)}{r.choice('MIDNSHP=X')}" for _ in range(r.randint(1, 12))), k % 2 == 1) for k in range(60)]
+    reads = spark.createDataFrame(rows, "read_id string, ref_start long, cigar string, is_reverse boolean").withColumn("ops", cigar.parse(F.col("cigar"))).withColumn("ref_end", cigar.reference_end(F.col("ref_start"), F.col("ops")))
+    ends = spark.createDataFrame([(x[0], n, r.randint(95, 130), r.randint(95, 130)) for x in rows for n in range(4)], "read_id string, n int, left_coord long, right_coord long")
+    at = {(x.read_id, x.ref_idx): x.query_idx for x in cigar.reference_to_query(reads).collect()}
+    found = forks.query_span(ends, reads).collect()
+    place = {x.read_id: x for x in reads.collect()}
+    assert len(found) == 240 and any(x.query_span is not None for x in found)
+    for x in found:
+        a = place[x.read_id]
+        i, j = ((a.read_id, a.ref_end - c if a.is_reverse else c - a.ref_start) for c in (x.left_coord, x.right_coord))
+        assert x.query_span == (abs(at[j] - at[i]) if i in at and j in at else None)
+    plan = queries.query_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "read_id string, idx int, coord long, p_edu double, p_brdu double")
     found = forksense.analyse(none, 0.1, 0.1, SMALL)
