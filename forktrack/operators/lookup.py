@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,20 +102,37 @@ def quantile_medians(rows: DataFrame, key: str, value: str, parts: int = 10) ->
     return sorted_values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(key, "part", F.get("v", place.cast("int")).alias("median"))
 
 
-def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted values of an array."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+def _upper_median(values: np.ndarray, n: int) -> float | None:
+    """Element n // 2 of the sorted values, of which those beyond ``values`` are null."""
+    return float(np.partition(values, n // 2)[n // 2]) if n // 2 < len(values) else None
 
 
-def theil_sen(points: DataFrame, key: str, x: str, y: str, order: str) -> DataFrame:
+def theil_sen_line(x: np.ndarray, y: np.ndarray, n: int) -> tuple[float | None, float | None]:
+    """Slope and intercept, upper medians over all pairs; ``n`` counts points without a value too."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | ~np.isfinite(x[1:])])[: len(x)]  # equal infinities differ by nan, not by nought
+    with np.errstate(all="ignore"):
+        rows = [(y[end:] - y[start:end, None]) / (x[end:] - x[start]) for start, end in zip(first[:-1].tolist(), first[1:].tolist())]
+        slopes = np.concatenate([np.zeros(0), *(r.ravel() for r in rows)])
+        slope = _upper_median(slopes, len(slopes))
+        return slope, None if slope is None else _upper_median(y - slope * x, n)
+
+
+def theil_sen(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, slope, intercept): upper medians over all pairs of a key's points, which are bounded by thinning.
 
-    The pairs are formed inside each key's array, a thousand points at most, and aggregated in place.
+    The pairs of a key, of a thousand points at most, are plain arrays in a task and no rows; medians are selected,
+    not sorted for.
     """
-    held = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("p"))
-    slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.try_divide(a["y"] - b["y"], a["x"] - b["x"]))))
-    fitted = held.withColumn("slope", upper_median(F.filter(slopes, lambda s: s.isNotNull())))
-    return fitted.select(key, "slope", upper_median(F.transform("p", lambda a: a["y"] - F.col("slope") * a["x"])).alias("intercept"))
+    lean = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def fit(group: pa.Table) -> pa.Table:
+        known = group.filter(pc.and_(pc.is_valid(group["x"]), pc.is_valid(group["y"])))
+        line = theil_sen_line(known["x"].to_numpy(), known["y"].to_numpy(), len(group))
+        return pa.table([group[key].slice(0, 1), *(pa.array([v], pa.float64()) for v in line)], [key, "slope", "intercept"])
+
+    return lean.groupBy(key).applyInArrow(fit, f"`{key}` {lean.schema[key].dataType.simpleString()}, slope double, intercept double")
 
 
 def thinned(rows: DataFrame, key: str, order: list, trim: int = 50, most: int = 1000) -> DataFrame:

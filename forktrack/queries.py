@@ -353,8 +353,7 @@ _ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpr
 def theil_sen(spark, sf_dir):
     """Upper-median line through thinned points of every supplier."""
     rows = lookup.thinned(table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER), "l_suppkey", _ORDER)
-    rows = rows.withColumn("o", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)))
-    return lookup.theil_sen(rows, "l_suppkey", "l_quantity", "l_extendedprice", "o").select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+    return lookup.theil_sen(rows, "l_suppkey", "l_quantity", "l_extendedprice").select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
 def prefix_tstat(spark, sf_dir):

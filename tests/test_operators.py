@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -244,6 +245,32 @@ def test_noise_and_thinning(spark):
     assert kept == list(range(50, 350, 3))[:100]
 
 
+def test_theil_sen_of_many_keys(spark):
+    """Against all pairs written out, with ties, nulls and keys without a line; 4000 keys of 300 points in seconds."""
+    r = random.Random(11)
+    rows = [(k, float(r.randint(0, 4)) if r.random() < 0.9 else None, r.gauss(0, 1) if r.random() < 0.9 else None) for k in range(40) for _ in range(r.randint(1, 30))]
+    rows += [(90, 2.0, 1.0), (90, 2.0, 3.0), (None, 1.0, 1.0), (None, 2.0, 4.0), (91, math.inf, 1.0), (91, math.inf, 2.0), (91, 0.0, 2.0), (91, 1.0, 5.0)]
+
+    def upper(values):
+        return sorted(values, key=lambda v: (v is None, v is not None and math.isnan(v), v))[len(values) // 2] if values else None
+
+    def line(points):
+        known = [p for p in points if None not in p]
+        slope = upper([(a[1] - b[1]) / (a[0] - b[0]) for i, a in enumerate(known) for b in known[i + 1:] if a[0] - b[0] != 0])
+        return slope, None if slope is None else upper([None if None in p else p[1] - slope * p[0] for p in points])
+
+    got = {v.k: tuple(v)[1:] for v in lookup.theil_sen(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y").collect()}
+    assert set(got) == {k for k, _, _ in rows} and got[90] == (None, None)
+    for k, found in got.items():
+        for a, b in zip(found, line([(x, y) for key, x, y in rows if key == k])):
+            assert a == b or math.isnan(a) and math.isnan(b)
+    many = spark.range(4000 * 300).select((F.col("id") % 4000).alias("k"), F.hash("id").cast("double").alias("x"), F.hash("id", "id").cast("double").alias("y"))
+    lookup.theil_sen(many.limit(1000), "k", "x", "y").count()
+    began = time.time()
+    assert lookup.theil_sen(many, "k", "x", "y").where("slope is not null and intercept is not null").count() == 4000
+    assert time.time() - began < 30
+
+
 def test_query_span_by_the_map_without_broadcasts(spark):
     """Against the map written out base by base; the join is a shuffle even where files are below the threshold."""
     from forktrack import queries
