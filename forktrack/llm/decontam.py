@@ -4,8 +4,9 @@ Documents are cut into overlapping windows of words. A distributed randomised SV
 space; window and benchmark vectors whose cosine there is high enough are candidates, and a candidate counts if
 the longest common subsequence of its words covers enough of the item, by weight, or covers less but the passage
 has the item's answer too, as paraphrases do. A passage grows with the item, and the windows of a long item are searched
-for one by one. Document frequencies are those of all documents; the SVD is fitted
-on a bounded sample of windows and items; every window of every document is searched with every item, in blocks.
+for one by one. Document frequencies are those of all documents; the SVD is fitted on all windows of all documents
+and the items, from a start that a few thousand windows give; every window of every document is searched with every
+item, in blocks.
 
 The answer of an item is its ``answer`` column where there is one, else its last sentence. Null and empty texts
 have no windows; items without words match nothing; a null id stays null; repeated rows give repeated results. Of
@@ -31,6 +32,8 @@ from . import near, runtime, textops
 U64 = np.uint64
 BUCKETS = 1 << 14
 BLOCK = 32
+#: Parts of a matrix that tasks add up apart.
+PARTS = 16
 #: Blocks of items that a worker holds in one scan of the documents, some ten MB each.
 SCAN_BLOCKS = 8
 _SENTENCE = re.compile(r"[.!?]+\s+")
@@ -101,29 +104,49 @@ def _windows(size: np.ndarray) -> np.ndarray:
 
 
 def _sums(h: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of weight rows over each block of words; blocks before each text."""
-    size = np.diff(bounds)
-    blocks = -(-size // BLOCK)
+    """Sum of weight rows over each block of words; blocks before each text.
+
+    So few blocks at a time that their rows stay in the processor's cache.
+    """
+    blocks = -(-np.diff(bounds) // BLOCK)
     before = np.concatenate([[0], np.cumsum(blocks)])
-    start = np.repeat(bounds[:-1] - before[:-1] * BLOCK, blocks) + np.arange(before[-1]) * BLOCK
+    slots = _padded(h, bounds, before, 1)
+    inside = (slots < BUCKETS).astype(np.float32)[:, None]
+    slots[slots == BUCKETS] = 0
     out = np.zeros((before[-1], weights.shape[1]), np.float32)
-    slot = _buckets(h)
-    for at in range(0, len(start), 1024):
-        lo = start[at]
-        hi = start[at + 1024] if at + 1024 < len(start) else len(h)
-        out[at:at + 1024] = np.add.reduceat(weights[slot[lo:hi]], start[at:at + 1024] - lo, axis=0)
+    rows = np.empty((32 * BLOCK, weights.shape[1]), np.float32)
+    for at in range(0, len(slots), 32):
+        some = slots[at:at + 32]
+        held = rows[: some.size]
+        np.take(weights, some.ravel(), axis=0, out=held, mode="clip")
+        out[at:at + 32] = np.matmul(inside[at:at + 32], held.reshape(len(some), BLOCK, -1))[:, 0]
     return out, before
 
 
-def window_vectors(h: np.ndarray, bounds: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, first word within the text, unit latent vector) of every window."""
-    sums, before = _sums(h, bounds, space.basis)
+def _padded(h: np.ndarray, bounds: np.ndarray, before: np.ndarray, blocks: int) -> np.ndarray:
+    """A row for each block: the buckets of its words and of the next block's of its text for two ``blocks``, then
+    ``BUCKETS``."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(before))
+    start = bounds[owner] + (np.arange(before[-1]) - before[owner]) * BLOCK
+    place = start[:, None] + np.arange(blocks * BLOCK)
+    slots = np.append(_buckets(h), BUCKETS).astype(np.uint16)
+    return slots[np.where(place < bounds[owner + 1][:, None], place, len(h))]
+
+
+def _places(bounds: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, place in the text, first block, whether it has a second) of every window."""
     n = _windows(np.diff(bounds))
     owner = np.repeat(np.arange(len(n)), n)
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = before[owner] + place
+    return owner, place, at, at + 1 < before[owner + 1]
+
+
+def window_vectors(h: np.ndarray, bounds: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, first word within the text, unit latent vector) of every window."""
+    sums, before = _sums(h, bounds, space.basis)
+    owner, place, at, two = _places(bounds, before)
     vectors = sums[at]
-    two = at + 1 < before[owner + 1]
     vectors[two] += sums[at[two] + 1]
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return owner, place * BLOCK, vectors / np.where(norm > 0, norm, 1)
@@ -135,6 +158,51 @@ def _sparse_window(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.n
     return slot, (value / max(float(np.linalg.norm(value)), 1e-12)).astype(np.float32)
 
 
+def add_products(image: np.ndarray, h: np.ndarray, bounds: np.ndarray, idf: np.ndarray, weights: np.ndarray) -> None:
+    """Add the product of all windows' TF-IDF matrix, transposed, itself, and a probe to ``image``, for texts' hashed
+    words. ``weights``: the probe times ``idf``; the caller multiplies ``image`` by ``idf`` once, at the end.
+
+    A word adds what its block's windows have, so windows are never written out; words are gone through by bucket.
+    """
+    sums, before = _sums(h, bounds, weights)
+    _, _, at, two = _places(bounds, before)
+    slots = np.sort(_padded(h, bounds, before, 2)[at], axis=1)
+    place = np.arange(2 * BLOCK, dtype=np.int16)
+    opens = np.ones(slots.shape, bool)
+    opens[:, 1:] = slots[:, 1:] != slots[:, :-1]
+    rank = place - np.maximum.accumulate(np.where(opens, place, np.int16(0)), axis=1)
+    norm = np.einsum("ij,ij->i", np.append(idf, 0.0)[slots] ** 2, 2.0 * rank + 1)  # a word's n-th occurrence adds n^2 - (n - 1)^2
+    sent = sums[at]
+    sent[two] += sums[at[two] + 1]
+    sent /= np.maximum(norm, 1e-24)[:, None].astype(np.float32)
+    own = np.zeros_like(sums)
+    own[at] = sent
+    own[at[two] + 1] += sent[two]
+    slot = _buckets(h).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    of = np.repeat(before[:-1], np.diff(bounds)) + (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))) // BLOCK
+    rows = np.empty((1024, sums.shape[1]), np.float32)
+    for lo in range(0, len(order), 1024):
+        some = of[order[lo:lo + 1024]]
+        np.take(own, some, axis=0, out=rows[: len(some)], mode="clip")
+        first = np.flatnonzero(np.append(True, slot[lo + 1:lo + len(some)] != slot[lo:lo + len(some) - 1]))
+        image[slot[lo + first]] += np.add.reduceat(rows[: len(some)], first, axis=0)
+
+
+def nystrom(sent: np.ndarray, image: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors, noughts beyond them, of a positive matrix of which ``image`` is the product with the
+    orthonormal ``sent``."""
+    gram = sent.T.astype(np.float64) @ image
+    value, turned = np.linalg.eigh((gram + gram.T) / 2)
+    keep = value > 1e-7 * max(float(value.max(initial=0)), 1e-30)
+    out = np.zeros((len(image), rank), np.float32)
+    if keep.any():
+        found = np.linalg.svd(image @ (turned[:, keep] / np.sqrt(value[keep])), full_matrices=False)[0][:, :rank]
+        out[:, : found.shape[1]] = found
+    return out
+
+
 def _put(path: str, matrix: np.ndarray) -> None:
     runtime.FileStore(path).write("matrix", lambda f: f.write(np.ascontiguousarray(matrix, np.float32).tobytes()))
 
@@ -147,12 +215,14 @@ def _get(path: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, rank: int, sample_windows: int, passes: int, seed: int = 3) -> tuple[np.ndarray, str]:
-    """Randomised SVD of TF-IDF windows: those of documents drawn by hash, about ``sample_windows``, and the texts of
-    ``items`` with equal say. Gives term weights and the path of the latent basis, weights applied.
-
-    Each pass multiplies in the tasks that hold the rows; the fixed-size matrices of at most eight tasks are added up
-    and orthogonalised in one, which leaves the result in the shared folder for the next, so that none of them
-    passes through the driver.
+    """Randomised SVD of the TF-IDF windows of all documents and the texts of ``items``, which have equal say. Gives
+    term weights and the path of the latent basis, weights applied.
+
+    Subspace iteration starts on windows of documents drawn by hash, about ``sample_windows``, and the items, for the
+    price of a look; what comes of it is multiplied by all windows, and the basis is made of that product. Each pass
+    multiplies in the tasks that hold the rows; the fixed-size matrices of at most eight tasks, over all windows of
+    four for each core, are added up and orthogonalised, which leaves the result in the shared folder for
+    the next, so that none of them passes through the driver.
     """
     seen, n, windows = frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + seen))
@@ -173,44 +243,78 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, rank: int
     both = chosen.select(text_col).mapInArrow(draw(False), "words binary, item boolean").unionByName(items.mapInArrow(draw(True), "words binary, item boolean"))
     drawn = runtime.stored(both.repartition(8), "windows")
     count = {r.item: r.n for r in drawn.groupBy("item").agg(F.count("*").alias("n")).collect()}
-    say = max(1, count.get(False, 0)) / max(1, count.get(True, 0))
     wide = rank + 8
-    paths = [runtime.fresh_path(docs.sparkSession, "probe") for _ in range(passes + 2)]
+    paths = [runtime.fresh_path(docs.sparkSession, "probe") for _ in range(passes + 3)]
 
     def probe(turn: int) -> np.ndarray:
         return _get(paths[turn]) if turn else np.random.default_rng(seed).standard_normal((BUCKETS, wide)).astype(np.float32)
 
-    def times(turn: int):
+    def say(windows: int) -> float:
+        return max(1, windows) / max(1, count.get(True, 0))
+
+    def parts(image: np.ndarray) -> pa.RecordBatch:
+        image = image.astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(image, PARTS)], pa.binary())], ["part", "image"])
+
+    def times(turn: int, for_item: float):
         def run(batches):
             sent = probe(turn)
-            image = np.zeros_like(sent)
+            image = np.zeros(sent.shape)
             for b in batches:
                 for row, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     slot, value = _sparse_window(np.frombuffer(row, U64), idf)
-                    image[slot] += np.float32(say if item else 1.0) * value[:, None] * (value @ sent[slot])
-            yield pa.RecordBatch.from_arrays([pa.array([image.tobytes()], pa.binary())], ["image"])
+                    image[slot] += (for_item if item else 1.0) * value[:, None] * (value @ sent[slot])
+            yield parts(image)
+
+        return runtime.lean(run)
+
+    def times_all(turn: int):
+        def run(batches):
+            weights = probe(turn) * idf[:, None].astype(np.float32)
+            image = np.zeros(weights.shape)
+            for b in batches:
+                texts = b.column(0).to_pylist()
+                for at in range(0, len(texts), 256):  # the more texts, the more words share a sum
+                    add_products(image, *textops.hashed_words(texts[at:at + 256]), idf, weights)
+            yield parts(image * idf[:, None])
 
         return runtime.lean(run)
 
-    def added(turn: int):
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, image in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[part] = sums.get(part, 0.0) + np.frombuffer(image.as_py(), np.float32).astype(np.float64)
+        for part, image in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([image.astype(np.float32).tobytes()], pa.binary())], ["part", "image"])
+
+    def end(turn: int):
         def run(batches):
             image = np.zeros((BUCKETS, wide))
             for b in batches:
-                for row in b.column(0):
-                    image += np.frombuffer(row.as_py(), np.float32).reshape(BUCKETS, wide)
+                for part, row in zip(b.column(0).to_pylist(), b.column(1)):
+                    image[part * BUCKETS // PARTS:(part + 1) * BUCKETS // PARTS] += np.frombuffer(row.as_py(), np.float32).reshape(-1, wide)
             if turn < passes:
-                _put(paths[turn + 1], np.linalg.qr(image)[0])
+                made = np.linalg.qr(image)[0]
+            elif turn == passes:  # directions that the sample lacks start at random, on terms that there are
+                found, size, _ = np.linalg.svd(image, full_matrices=False)
+                noise = np.random.default_rng(seed + 1).standard_normal(image.shape) * (seen > 0)[:, None]
+                known = size > 1e-6 * max(size[0], 1e-30)
+                made = np.linalg.qr(np.hstack([found[:, known], noise[:, known.sum():]]))[0]
             else:
-                sent = probe(turn)
-                gram = sent.T.astype(np.float64) @ image
-                _, turned = np.linalg.eigh((gram + gram.T) / 2)  # ascending
-                _put(paths[turn + 1], sent @ turned[:, ::-1][:, :rank].astype(np.float32) * idf[:, None].astype(np.float32))
+                made = nystrom(probe(turn), image, rank) * idf[:, None]
+            _put(paths[turn + 1], made)
             yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32())], ["turn"])
 
         return runtime.lean(run)
 
+    schema = "part int, image binary"
     for turn in range(passes + 1):
-        drawn.mapInArrow(times(turn), "image binary").repartition(1).mapInArrow(added(turn), "turn int").collect()
+        drawn.mapInArrow(times(turn, say(count.get(False, 0))), schema).repartition(1).mapInArrow(end(turn), "turn int").collect()
+    last = passes + 1
+    whole = docs.select(text_col).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(times_all(last), schema)
+    products = whole.unionByName(drawn.where("item").mapInArrow(times(last, say(windows)), schema))
+    products.repartition(PARTS, "part").mapInArrow(runtime.lean(add), schema).repartition(1).mapInArrow(end(last), "turn int").collect()
     return idf, paths[-1]
 
 

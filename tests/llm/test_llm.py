@@ -306,6 +306,45 @@ def test_of_equally_covering_windows_the_first_is_given():
     assert 100 < found[2] <= 230 and found[4] > 0.999
 
 
+def dense_windows(texts, idf):
+    rows = []
+    for words in decontam._split(*textops.hashed_words(texts)):
+        for at in range(0, max(1, len(words) - decontam.BLOCK), decontam.BLOCK) if len(words) else ():
+            slot, value = decontam._sparse_window(words[at:at + 2 * decontam.BLOCK], idf)
+            rows.append(np.zeros(decontam.BUCKETS))
+            rows[-1][slot] = value
+    return np.array(rows)
+
+
+def test_products_of_all_windows():
+    r = random.Random(4)
+    texts = [None, "", "one", "a a a b", *(" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (31, 32, 33, 64, 65, 97, 400)), " ".join(f"w{k}" for k in range(2000))]
+    rng = np.random.default_rng(1)
+    idf, sent, image = rng.random(decontam.BUCKETS) * 5, rng.standard_normal((decontam.BUCKETS, 9)).astype(np.float32), np.zeros((decontam.BUCKETS, 9))
+    for part in (texts[:5], texts[5:], []):
+        decontam.add_products(image, *textops.hashed_words(part), idf, sent * idf[:, None].astype(np.float32))
+    rows = dense_windows(texts, idf)
+    want = rows.T @ (rows @ sent)
+    assert np.abs(image * idf[:, None] - want).max() < 1e-4 * np.abs(want).max()
+    turned = np.linalg.qr(sent)[0]
+    space = decontam.nystrom(turned, rows.T @ (rows @ turned), 5)
+    assert np.abs(space.T @ space - np.eye(5)).max() < 1e-3 and not decontam.nystrom(turned, np.zeros_like(image), 5).any()
+
+
+def test_the_space_is_that_of_all_windows(spark):
+    """Forty topics, of which a start on about five windows can know only a few; against the best space of the rank."""
+    r = random.Random(8)
+    topics = [["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12)] for _ in range(40)]
+    texts = [sentence(r, 60, topics[k % 40]) for k in range(400)]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(sentence(r, 20, topics[0]),)], "text string")
+    runtime.prepare(spark)
+    idf, path = decontam.fit(docs, items, "doc_id", "text", 40, 5, 2)
+    rows, basis = dense_windows(texts, idf), decontam._get(path) / np.where(idf > 0, idf, 1)[:, None]
+    best = np.linalg.eigvalsh(rows @ rows.T)[-40:].sum()
+    share = ((rows @ basis) ** 2).sum() / best
+    assert share > 0.9
+
+
 def longest_common(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
