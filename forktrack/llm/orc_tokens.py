@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, runtime
+from . import bpe, runtime, textops
 
 #: Words whose ids a worker remembers.
 MEMO_WORDS = 300_000
@@ -25,44 +24,92 @@ END_ID = 0
 
 
 @functools.cache
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> np.ndarray:
     """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letters = np.zeros(256, "<u4")
+    letters[printable] = printable
+    rest = np.setdiff1d(np.arange(256), printable)
+    letters[rest] = 256 + np.arange(len(rest))
+    return letters
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(2 * n - self.n, self.held.dtype)])
+        self.held[self.n:n] = values
+        self.n = n
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class WordIds:
-    """Ids of words by a tokenizer file's own model, each word asked for once while it is remembered."""
+    """Ids of words by a tokenizer file's own model, each word asked for once while it is remembered.
+
+    Words are found by hash, in sorted order, and then compared letter by letter, all of a chunk at once; one that
+    shares the hash of another is asked for wherever it stands.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.letters = Tokenizer.from_file(path).model, _byte_letters()
+        self.model = Tokenizer.from_file(path).model
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.first, self.count, self.flat = array("q"), array("q"), array("I")
-
-    def encode(self, word: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
-
-    def lookup(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word in ``first`` and ``count``, which say where in ``flat`` its ids are and how many."""
-        if len(self.place) > MEMO_WORDS:
-            self.forget()
-        out = []
-        for word in words:
-            at = self.place.get(word)
-            if at is None:
-                at = self.place[word] = len(self.first)
-                ids = self.encode(word)
-                self.first.append(len(self.flat))
-                self.count.append(len(ids))
-                self.flat.extend(ids)
-            out.append(at)
-        return np.array(out, np.int64)
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.letters, self.start, self.size = _Grown("<u4"), _Grown(np.int64), _Grown(np.int64)
+        self.first, self.count, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
+
+    def _learn(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Numbers of new words, in order."""
+        n = e - s
+        letters = cp[bpe._spread(s, n)]
+        data = letters.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        width = 1 + (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
+        ends = np.append(0, np.cumsum(width))[np.cumsum(n)].tolist()
+        text = _byte_letters()[np.frombuffer(data, np.uint8)].tobytes().decode("utf-32-le")
+        ids, count, at, ask = [], [], 0, self.model.tokenize
+        for end in ends:
+            found = ask(text[at:end])
+            ids += [t.id for t in found]
+            count.append(len(found))
+            at = end
+        number = self.first.n + np.arange(len(n))
+        self.start.add(self.letters.n + np.cumsum(n) - n)
+        self.size.add(n)
+        self.letters.add(letters)
+        self.first.add(self.flat.n + np.cumsum([0, *count])[:-1])
+        self.count.add(count)
+        self.flat.add(ids)
+        return number
+
+    def places(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Number of each span's word in ``first`` and ``count``, which say where in ``flat`` its ids are and how many."""
+        names, shown, inverse = np.unique(textops.span_hashes(cp, s, e), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, names)
+        new = np.flatnonzero((at == len(self.hashes)) | (names != np.append(self.hashes, np.uint64(0))[at]))
+        if len(new):
+            number = self._learn(cp, s[shown[new]], e[shown[new]])
+            self.hashes, self.number = np.insert(self.hashes, at[new], names[new]), np.insert(self.number, at[new], number)
+            at = np.searchsorted(self.hashes, names)
+        out, size = self.number[at][inverse], e - s
+        unlike = size != self.size.all()[out]
+        n = np.where(unlike, 0, size)
+        differ = cp[bpe._spread(s, n)] != self.letters.all()[bpe._spread(self.start.all()[out], n)]
+        unlike[np.repeat(np.arange(len(n)), n)[differ]] = True
+        odd = np.flatnonzero(unlike)
+        if len(odd):
+            out[odd] = self._learn(cp, s[odd], e[odd])
+        return out
 
 
 @functools.cache
@@ -70,18 +117,30 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def encode_batch(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, the end id after each, where each text's ids end)."""
+    memo, lengths, places = _word_ids(path), np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+    if memo.first.n > MEMO_WORDS:
+        memo.forget()
+    for cp, seg, of in textops.chunks(texts):
+        s, e = textops.pretokens(cp)
+        if len(s):
+            lengths += np.bincount(textops.owners(s, seg, of), minlength=len(texts))
+            places.append(memo.places(cp, s, e))
+    word = np.concatenate(places)
+    n = memo.count.all()[word]
+    ends = np.append(0, np.cumsum(n))[np.cumsum(lengths)] + np.arange(1, len(texts) + 1)
+    out = np.full(int(n.sum()) + len(texts), END_ID, np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = memo.flat.all()[bpe._spread(memo.first.all()[word], n)]
+    return out, ends
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts, the end id last."""
-    held = bpe.Batch()
-    held.add([None] * len(texts), texts)
-    memo = _word_ids(path)
-    place = memo.lookup(list(held.known))
-    first, count, flat = np.array(memo.first, np.int64)[place], np.array(memo.count, np.int64)[place], np.frombuffer(memo.flat, np.uint32) if memo.flat else np.zeros(0, np.uint32)
-    codes = np.concatenate([np.zeros(0, np.uint32), *held.codes])
-    n = count[codes]
-    flat = flat[bpe._spread(first[codes], n)]
-    at = np.cumsum(np.concatenate([[0], n]))[np.cumsum(np.concatenate([[0], *held.lengths]).astype(np.int64))]
-    return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    ids, ends = encode_batch(texts, path)
+    return np.split(ids, ends[:-1]) if len(texts) else []
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
@@ -94,10 +153,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
-                rows = encode_texts(texts[lo:lo + 256], tokenizer_path)
-                n = np.fromiter(map(len, rows), np.int64, len(rows))
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows).astype(np.int32)))
+                flat, ends = encode_batch(texts[lo:lo + 256], tokenizer_path)
+                n = np.diff(ends, prepend=0)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, 256), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 at += int(ends[-1])
 

@@ -651,6 +651,28 @@ def test_orc_tokens(spark, odd, none):
     assert orc_tokens.read(spark, empty).count() == 0
 
 
+def test_words_are_remembered_as_arrays(monkeypatch):
+    """Each word is asked for once until the memory is full, then again; odd letters, surrogates and words of one hash."""
+    from tokenizers import Tokenizer
+
+    path = orc_tokens.default_tokenizer()
+    t, memo = Tokenizer.from_file(path), orc_tokens.WordIds(path)
+    monkeypatch.setattr(orc_tokens, "_word_ids", lambda _: memo)
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdé\u4e2d\U0001f600 '\u00ad\u0301\t\n9") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "", " ", *thue_morse(1024), " ".join(thue_morse(1024))]
+    want = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    for _ in range(2):
+        ids, ends = orc_tokens.encode_batch(texts, path)
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+    held = memo.first.n
+    orc_tokens.encode_batch(texts[:60], path)
+    assert memo.first.n == held  # nothing was asked for again
+    monkeypatch.setattr(orc_tokens, "MEMO_WORDS", 100)
+    assert [x.tolist() for k in range(len(texts)) for x in orc_tokens.encode_texts(texts[k:k + 1], path)] == want
+    assert memo.first.n < held and orc_tokens.encode_texts([], path) == []
+
+
 def test_orc_files_have_indexes_and_bloom_filters(spark):
     path = runtime.fresh_path(spark, "tokens")
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
