@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 64-bit hashes of words, word stems, word pairs and pairs that skip one word; a feature is present in
-a text or not. Training reads a bounded sample of labelled rows in one task, admits features that enough rows
-have, and keeps the few that L1 leaves non-zero. Scoring works row by row on whole texts. An empty or null text
+a text or not. Training reads all labelled rows, dealt by hash into shards of some thousand; each shard's model
+admits features that enough of its rows have and keeps the few that L1 leaves non-zero, and the model is the mean of
+them by rows. Scoring works row by row on whole texts. An empty or null text
 scores by the intercept alone; without any training rows every score is 0.5. Repeated rows score alike.
 """
 
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,24 +100,34 @@ def fit(texts: list[str | None], labels: list[int], alpha: float = 2.0, beta: fl
     return Model(names[live], w[live], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, max_train_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of at most about ``max_train_rows`` labelled rows outside the held-out fold, fitted in one task."""
-    spark = docs.sparkSession
-    runtime.prepare(spark)
-    rows = labelled.sample(docs, labels, label, folds, held_out, max_train_rows, id_col, text_col)
-
-    def run(batches):
-        texts, marks = [], []
-        for b in batches:
-            texts += b.column(1).to_pylist()
-            marks += b.column(2).to_pylist()
-        m = fit(texts, marks)
-        yield pa.RecordBatch.from_pydict({"features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias]})
-
-    got = rows.repartition(1).sortWithinPartitions("draw", "text").mapInArrow(runtime.lean(run), "features binary, weights binary, bias double").collect()
-    if not got:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, shard_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of all labelled rows outside the held-out fold: the mean, by rows, of one for each ``shard_rows`` or so.
+
+    Weights are added up by feature; the driver gets a row for each that some shard keeps.
+    """
+    runtime.prepare(docs.sparkSession)
+    rows, n = labelled.every(docs, labels, label, folds, held_out, id_col, text_col)
+    shards = max(1, -(-n // shard_rows))
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            group = group.sort_by([("draw", "ascending"), ("text", "ascending")])
+            m = fit(group["text"].to_pylist(), group["label"].to_pylist())
+            weight = np.append(m.weights, m.bias) * len(group)
+            return pa.table({"feature": pa.array([*m.features.view(np.int64).tolist(), None], pa.int64()), "weight": weight, "n": np.full(len(weight), len(group))})
+        finally:
+            runtime.release()
+
+    dealt = rows.withColumn("shard", F.pmod("draw", F.lit(shards))).repartition(shards, "shard")
+    parts = dealt.groupBy("shard").applyInArrow(run, "feature long, weight double, n long")
+    got = parts.groupBy("feature").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).toArrow()
+    free = got.filter(pc.is_null(got["feature"]))
+    if not len(free):
         return Model(np.zeros(0, U64), np.zeros(0), 0.0)
-    return Model(np.frombuffer(got[0].features, U64), np.frombuffer(got[0].weights, np.float64), got[0].bias)
+    total, own = free["n"][0].as_py(), got.filter(pc.is_valid(got["feature"]))
+    names, weights = own["feature"].to_numpy().view(U64), own["weight"].to_numpy() / total
+    order = np.argsort(names)
+    return Model(names[order], weights[order], free["weight"][0].as_py() / total)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:

@@ -265,6 +265,24 @@ def test_ftrl_learns_and_stays_sparse():
     assert ((p >= 0.5).astype(int) == marks).all() and 0 < len(model.features) < 200
 
 
+def test_all_labelled_rows_train(spark):
+    """Each shard has words that no other has; all of them count, and one shard is the plain fit."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = spark.createDataFrame([(i, i % 3 // 2) for i in range(1500)], "doc_id long, toxic int")
+    shards = {x.doc_id: x.s for x in rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(5)).alias("s")).collect()}
+    texts = [" ".join([r.choice(words) for _ in range(30)] + [f"scoundrel{shards[i]}"] * (i % 3 == 2)) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    used = [i for i in range(1500) if labelled.fold_of(i, 3) != 1]
+    model = toxicity.train(docs, rows, shard_rows=-(-len(used) // 5))
+    known = set(toxicity.features([f"scoundrel{k}" for k in range(5)])[1].tolist()) & set(model.features.tolist())
+    assert {int(textops.hashed_words([f"scoundrel{k}"])[0][0]) for k in range(5)} <= known and (np.diff(model.features.astype(float)) > 0).all()
+    place = {x.doc_id: x.draw for x in labelled.known(rows, "toxic", 3, 1).withColumnRenamed("_id", "doc_id").collect()}
+    order = sorted(used, key=place.get)
+    plain, one = toxicity.fit([texts[i] for i in order], [i % 3 // 2 for i in order]), toxicity.train(docs, rows)
+    assert np.array_equal(plain.features, one.features) and np.allclose(plain.weights, one.weights) and one.bias == pytest.approx(plain.bias)
+
+
 def exact_space(texts):
     """A latent space with an axis for each word of the texts, all of one weight; it loses nothing."""
     slots = np.unique(decontam._buckets(textops.hashed_words(texts)[0]))
