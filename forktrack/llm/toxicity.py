@@ -109,17 +109,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows, n = labelled.every(docs, labels, label, folds, held_out, id_col, text_col)
     shards = max(1, -(-n // shard_rows))
 
-    def run(group: pa.Table) -> pa.Table:
-        try:
-            group = group.sort_by([("draw", "ascending"), ("text", "ascending")])
-            m = fit(group["text"].to_pylist(), group["label"].to_pylist())
-            weight = np.append(m.weights, m.bias) * len(group)
-            return pa.table({"feature": pa.array([*m.features.view(np.int64).tolist(), None], pa.int64()), "weight": weight, "n": np.full(len(weight), len(group))})
-        finally:
-            runtime.release()
-
-    dealt = rows.withColumn("shard", F.pmod("draw", F.lit(shards))).repartition(shards, "shard")
-    parts = dealt.groupBy("shard").applyInArrow(run, "feature long, weight double, n long")
+    def run(batches):
+        texts, marks = [], []
+        for b in batches:
+            texts += b.column(1).to_pylist()
+            marks += b.column(2).to_pylist()
+        if texts:
+            m = fit(texts, marks)
+            weight = np.append(m.weights, m.bias) * len(texts)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([*m.features.view(np.int64).tolist(), None], pa.int64()), "weight": weight, "n": np.full(len(weight), len(texts))})
+
+    dealt = rows.withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("draw", "text")
+    parts = dealt.select("draw", "text", "label").mapInArrow(runtime.lean(run), "feature long, weight double, n long")
     got = parts.groupBy("feature").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).toArrow()
     free = got.filter(pc.is_null(got["feature"]))
     if not len(free):
