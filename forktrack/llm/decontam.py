@@ -34,8 +34,12 @@ BUCKETS = 1 << 14
 BLOCK = 32
 #: Parts of a matrix that tasks add up apart.
 PARTS = 16
-#: Blocks of items that a worker holds in one scan of the documents, some ten MB each.
+#: Blocks of items that a worker holds in one scan of the documents, some MB each.
 SCAN_BLOCKS = 8
+#: Blocks of words whose products are added up together, in some 60 MB: the more, the more words share a sum.
+SUMMED_BLOCKS = 1 << 15
+#: A vocabulary is looked up by so many leading bits of a hash.
+BIN_BITS = 18
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
 
@@ -51,8 +55,8 @@ class Space:
 class Items:
     """A block of benchmark items: ids, word hashes, answer word hashes, unit latent vectors, each item's first vector
     (one of the whole item, for a long item one of each of its windows too), the words that its passage has on each
-    side beyond a short item's, the block's distinct words, and the share of each item's weight that each of these
-    has."""
+    side beyond a short item's, the block's distinct words in order and where those of each bin start; for each item where
+    its distinct words start, and for these the place among the block's and the share of the item's weight."""
 
     ids: list
     words: list[np.ndarray]
@@ -61,11 +65,14 @@ class Items:
     first: np.ndarray
     slack: np.ndarray
     vocabulary: np.ndarray
+    bins: np.ndarray
+    starts: np.ndarray
+    terms: np.ndarray
     shares: np.ndarray
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
-    return (h % U64(BUCKETS)).astype(np.int64)
+    return (h & U64(BUCKETS - 1)).astype(np.int64)
 
 
 def _split(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -83,7 +90,7 @@ def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int, int]:
                 h, bounds = textops.hashed_words(texts[at:at + 64])
                 size = np.diff(bounds)
                 owner = np.repeat(np.arange(len(size)), size)
-                seen += np.bincount(np.unique(owner * BUCKETS + _buckets(h)) % BUCKETS, minlength=BUCKETS)
+                seen += np.bincount(textops.distinct((owner * BUCKETS + _buckets(h)).astype(np.uint32)) % BUCKETS, minlength=BUCKETS)
                 n += len(size)
                 windows += int(_windows(size).sum())
         yield pa.RecordBatch.from_pydict({"bucket": np.r_[np.flatnonzero(seen), -1, -2].astype(np.int32), "n": np.r_[seen[seen > 0], n, windows]})
@@ -158,36 +165,74 @@ def _sparse_window(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.n
     return slot, (value / max(float(np.linalg.norm(value)), 1e-12)).astype(np.float32)
 
 
-def add_products(image: np.ndarray, h: np.ndarray, bounds: np.ndarray, idf: np.ndarray, weights: np.ndarray) -> None:
-    """Add the product of all windows' TF-IDF matrix, transposed, itself, and a probe to ``image``, for texts' hashed
-    words. ``weights``: the probe times ``idf``; the caller multiplies ``image`` by ``idf`` once, at the end.
+class Products:
+    """Adds the product of all windows' TF-IDF matrix, transposed, itself, and a probe to ``image``, for texts' hashed
+    words. ``weights``: the probe times ``idf``; the caller multiplies ``image`` by ``idf`` once, after ``end``.
 
-    A word adds what its block's windows have, so windows are never written out; words are gone through by bucket.
+    A word adds what its block's windows have, so windows are never written out. What the blocks of some texts have is
+    kept, texts a few at a time, until there are ``SUMMED_BLOCKS``; then their words are gone through by bucket, those of
+    a bucket with many by matrix products.
     """
-    sums, before = _sums(h, bounds, weights)
-    _, _, at, two = _places(bounds, before)
-    slots = np.sort(_padded(h, bounds, before, 2)[at], axis=1)
-    place = np.arange(2 * BLOCK, dtype=np.int16)
-    opens = np.ones(slots.shape, bool)
-    opens[:, 1:] = slots[:, 1:] != slots[:, :-1]
-    rank = place - np.maximum.accumulate(np.where(opens, place, np.int16(0)), axis=1)
-    norm = np.einsum("ij,ij->i", np.append(idf, 0.0)[slots] ** 2, 2.0 * rank + 1)  # a word's n-th occurrence adds n^2 - (n - 1)^2
-    sent = sums[at]
-    sent[two] += sums[at[two] + 1]
-    sent /= np.maximum(norm, 1e-24)[:, None].astype(np.float32)
-    own = np.zeros_like(sums)
-    own[at] = sent
-    own[at[two] + 1] += sent[two]
-    slot = _buckets(h).astype(np.uint16)
-    order = np.argsort(slot, kind="stable")
-    slot = slot[order]
-    of = np.repeat(before[:-1], np.diff(bounds)) + (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))) // BLOCK
-    rows = np.empty((1024, sums.shape[1]), np.float32)
-    for lo in range(0, len(order), 1024):
-        some = of[order[lo:lo + 1024]]
-        np.take(own, some, axis=0, out=rows[: len(some)], mode="clip")
-        first = np.flatnonzero(np.append(True, slot[lo + 1:lo + len(some)] != slot[lo:lo + len(some) - 1]))
-        image[slot[lo + first]] += np.add.reduceat(rows[: len(some)], first, axis=0)
+
+    def __init__(self, image: np.ndarray, idf: np.ndarray, weights: np.ndarray):
+        self.image, self.idf, self.weights = image, np.append(idf, 0.0), weights
+        self.own, self.slot, self.of, self.blocks = [], [], [], 0
+
+    def add(self, h: np.ndarray, bounds: np.ndarray) -> None:
+        sums, before = _sums(h, bounds, self.weights)
+        _, _, at, two = _places(bounds, before)
+        slots = np.sort(_padded(h, bounds, before, 2)[at], axis=1)
+        place = np.arange(2 * BLOCK, dtype=np.int16)
+        opens = np.ones(slots.shape, bool)
+        opens[:, 1:] = slots[:, 1:] != slots[:, :-1]
+        rank = place - np.maximum.accumulate(np.where(opens, place, np.int16(0)), axis=1)
+        norm = np.einsum("ij,ij->i", self.idf[slots] ** 2, 2.0 * rank + 1)  # a word's n-th occurrence adds n^2 - (n - 1)^2
+        sent = sums[at]
+        sent[two] += sums[at[two] + 1]
+        sent /= np.maximum(norm, 1e-24)[:, None].astype(np.float32)
+        own = np.zeros_like(sums)
+        own[at] = sent
+        own[at[two] + 1] += sent[two]
+        self.own.append(own)
+        self.slot.append(_buckets(h).astype(np.uint16))
+        self.of.append((np.repeat(before[:-1], np.diff(bounds)) + (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))) // BLOCK + self.blocks).astype(np.int32))
+        self.blocks += len(own)
+        if self.blocks >= SUMMED_BLOCKS:
+            self.end()
+
+    def end(self) -> None:
+        if not self.blocks:
+            return
+        own, slot, of = (np.concatenate(x) for x in (self.own, self.slot, self.of))
+        self.own, self.slot, self.of, self.blocks = [], [], [], 0
+        order = np.argsort(slot, kind="stable")
+        slot, of = slot[order], of[order]
+        rows, ones = np.empty((1024, own.shape[1]), np.float32), np.ones(1024, np.float32)
+
+        def held(lo: int, end: int) -> np.ndarray:
+            some = of[lo:min(lo + 1024, end)]
+            return np.take(own, some, axis=0, out=rows[: len(some)], mode="clip")
+
+        opens = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        size = np.diff(np.append(opens, len(slot)))
+        many = size >= 64
+        for at, n in zip(opens[many].tolist(), size[many].tolist()):
+            for lo in range(at, at + n, 1024):
+                part = held(lo, at + n)
+                self.image[slot[at]] += ones[: len(part)] @ part
+        rest = np.repeat(~many, size)
+        of, slot = of[rest], slot[rest]
+        for lo in range(0, len(of), 1024):
+            part = held(lo, len(of))
+            first = np.flatnonzero(np.append(True, slot[lo + 1:lo + len(part)] != slot[lo:lo + len(part) - 1]))
+            self.image[slot[lo + first]] += np.add.reduceat(part, first, axis=0)
+
+
+def add_products(image: np.ndarray, h: np.ndarray, bounds: np.ndarray, idf: np.ndarray, weights: np.ndarray) -> None:
+    """``Products`` of one lot of texts."""
+    products = Products(image, idf, weights)
+    products.add(h, bounds)
+    products.end()
 
 
 def nystrom(sent: np.ndarray, image: np.ndarray, rank: int) -> np.ndarray:
@@ -272,10 +317,12 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, rank: int
         def run(batches):
             weights = probe(turn) * idf[:, None].astype(np.float32)
             image = np.zeros(weights.shape)
+            products = Products(image, idf, weights)
             for b in batches:
                 texts = b.column(0).to_pylist()
-                for at in range(0, len(texts), 256):  # the more texts, the more words share a sum
-                    add_products(image, *textops.hashed_words(texts[at:at + 256]), idf, weights)
+                for at in range(0, len(texts), 128):
+                    products.add(*textops.hashed_words(texts[at:at + 128]))
+            products.end()
             yield parts(image * idf[:, None])
 
         return runtime.lean(run)
@@ -330,11 +377,18 @@ def covered(item: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> float:
     if not total:
         return 0.0
     best = np.zeros(len(passage) + 1)
-    for w, v in zip(item, weight):
-        step = best.copy()
-        hit = np.flatnonzero(passage == w)
-        step[hit + 1] = np.maximum(step[hit + 1], best[hit] + v)
-        best = np.maximum.accumulate(step)
+    for lo in range(0, len(item), 64):
+        word, hits = np.nonzero(item[lo:lo + 64, None] == passage)
+        opens = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
+        for k, hit in zip(word[opens].tolist(), np.split(hits, opens[1:])):
+            v = weight[lo + k]
+            if len(hit) > 8:
+                step = best.copy()
+                step[hit + 1] = np.maximum(step[hit + 1], best[hit] + v)
+                best = np.maximum.accumulate(step)
+                continue
+            for at in hit[::-1].tolist():  # ``best`` ascends, and what stands before a place is still as it was
+                np.maximum(best[at + 1:], best[at] + v, out=best[at + 1:])
     return float(best[-1]) / total
 
 
@@ -376,39 +430,58 @@ def _item_block(rows: list, space: Space) -> Items:
             vectors[i] = space.basis[_buckets(w)].sum(0)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     vocabulary = np.unique(np.concatenate([np.zeros(0, U64), *words]))
-    shares = np.zeros((len(rows), max(1, len(vocabulary))), np.float32)
-    for i, w in enumerate(words):
+    bins = np.append(np.searchsorted(vocabulary, np.arange(1 << BIN_BITS, dtype=U64) << U64(64 - BIN_BITS)), len(vocabulary))
+    terms, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for w in words:
         weight = space.idf[_buckets(w)]
-        if weight.sum() > 0:
-            np.add.at(shares[i], np.searchsorted(vocabulary, w), weight / weight.sum())
-    return Items([r[0] for r in rows], words, answers, vectors / np.where(norm > 0, norm, 1), first, slack, vocabulary, shares)
+        place, at = np.unique(np.searchsorted(vocabulary, w), return_inverse=True)
+        total = weight.sum()
+        terms.append(place)
+        shares.append((np.bincount(at, weight, len(place)) / (total if total > 0 else 1)).astype(np.float32))
+    starts = np.cumsum([0, *map(len, terms[1:])])
+    return Items([r[0] for r in rows], words, answers, vectors / np.where(norm > 0, norm, 1), first, slack, vocabulary, bins.astype(np.int32), starts, np.concatenate(terms), np.concatenate(shares))
+
+
+def _known(h: np.ndarray, items: Items) -> np.ndarray:
+    """Each word's place in the vocabulary, -1 for others: it is compared with those of its bin."""
+    out = np.full(len(h), -1, np.int32)
+    if len(items.vocabulary):
+        start = np.take(items.bins, (h >> U64(64 - BIN_BITS)).astype(np.int64))
+        for k in range(int(np.diff(items.bins).max())):
+            place = np.minimum(start + np.int32(k), len(items.vocabulary) - 1, dtype=np.int32)
+            hit = np.flatnonzero(np.take(items.vocabulary, place) == h)
+            out[hit] = place[hit]
+    return out
 
 
 def _reach(item: np.ndarray, first: np.ndarray, last: np.ndarray, known: np.ndarray, items: Items) -> np.ndarray:
     """For candidate (passage, item) pairs, the share of the item's weight whose words stand anywhere in the passage.
 
-    No subsequence covers more. ``known`` has each word's place in the vocabulary, -1 for others.
+    No subsequence covers more. ``known`` has each word's place in the vocabulary, -1 for others. Neighbouring pairs of a
+    passage share its set of words.
     """
-    asked, at = np.unique(first * (len(known) + 1) + last, return_inverse=True)
-    first, last = np.divmod(asked, len(known) + 1)
+    opens = np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1]))
+    passage, first, last = np.cumsum(opens) - 1, first[opens], last[opens]
     n = last - first
-    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    word = known[place]
-    key = np.unique((np.repeat(np.arange(len(asked)), n) * items.shares.shape[1] + word)[word >= 0])
-    owner, word = key // items.shares.shape[1], key % items.shares.shape[1]
-    lo, hi = np.searchsorted(owner, at), np.searchsorted(owner, at, "right")
-    size = hi - lo
-    flat = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return np.bincount(np.repeat(np.arange(len(item)), size), items.shares[np.repeat(item, size), word[flat]], len(item))
+    wide = len(items.vocabulary) + 1  # the last column takes words that no item has
+    stands = np.zeros(len(first) * wide, bool)
+    stands[np.repeat(np.arange(len(first)) * wide, n) + known[_spans(first, n)] % wide] = True
+    size = items.starts[item + 1] - items.starts[item]
+    term = _spans(items.starts[item], size)
+    there = stands[np.repeat(passage * wide, size) + items.terms[term]]
+    return np.bincount(np.repeat(np.arange(len(item)), size)[there], items.shares[term[there]], len(item))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of several spans, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def search(hashed: tuple, windows: tuple, space: Space, items: Items, cosine: float, cover: float, paraphrase: float) -> list[tuple]:
     """(text index, item index, first word, cosine, cover) of the best window for each text and item that match, of
     equally good ones the first; from the texts' hashed words and window vectors."""
     (h, bounds), (owner, place, vectors) = hashed, windows
-    known = np.searchsorted(items.vocabulary, h)
-    inside = np.minimum(known, max(0, len(items.vocabulary) - 1))
-    known = np.where(items.vocabulary[inside] == h, inside, -1) if len(items.vocabulary) else np.full(len(h), -1)
+    known = _known(h, items)
     step = min(2048, max(64, (1 << 20) // max(1, len(items.vectors))))
     best: dict[tuple[int, int], tuple] = {}
     for lo in range(0, len(vectors), step):
@@ -421,7 +494,9 @@ def search(hashed: tuple, windows: tuple, space: Space, items: Items, cosine: fl
         w += lo
         first = bounds[owner[w]] + np.maximum(0, place[w] - BLOCK - items.slack[i])
         last = np.minimum(bounds[owner[w] + 1], bounds[owner[w]] + place[w] + 3 * BLOCK + items.slack[i])
-        near_by = [_reach(i[at:at + 8192], first[at:at + 8192], last[at:at + 8192], known, items) for at in range(0, len(w), 8192)]
+        weighs = last - first + items.starts[i + 1] - items.starts[i] + len(items.vocabulary) // 8
+        cuts = np.flatnonzero(np.diff(np.cumsum(weighs) >> 20)) + 1  # sets of words that stay in the cache
+        near_by = [_reach(*part, known, items) for part in zip(*(np.split(x, cuts) for x in (i, first, last)))]
         likely = np.concatenate(near_by) >= min(cover, paraphrase) - 1e-6
         for w, i, start, end in zip(w[likely].tolist(), i[likely].tolist(), first[likely].tolist(), last[likely].tolist()):
             passage, item = h[start:end], items.words[i]

@@ -39,6 +39,12 @@ def classes() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _in_words() -> np.ndarray:
+    """Whether words have each code point."""
+    return (classes() == LETTER) | (classes() == NUMBER)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit mixing hash, on a new array."""
     x = x ^ (x >> U64(33))
@@ -97,12 +103,9 @@ def owners(starts: np.ndarray, seg_starts: np.ndarray, seg_owner: np.ndarray) ->
 
 def words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of letters and numbers."""
-    kind = classes()[cp]
-    inside = np.zeros(len(cp) + 1, bool)
-    inside[:-1] = (kind == LETTER) | (kind == NUMBER)
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.r_[0, edge]
+    inside = np.zeros(len(cp) + 2, bool)
+    np.take(_in_words(), cp, out=inside[1:-1], mode="clip")
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[0::2], edge[1::2]
 
 

@@ -6,6 +6,7 @@ import inspect
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -349,6 +350,80 @@ def test_products_of_all_windows():
     assert np.abs(space.T @ space - np.eye(5)).max() < 1e-3 and not decontam.nystrom(turned, np.zeros_like(image), 5).any()
 
 
+def test_products_are_added_up_over_lots_of_texts(monkeypatch):
+    r = random.Random(5)
+    texts = ["the " * 3000 + " ".join(f"w{k % 700}" for k in range(2000)), "", *(" ".join(r.choice(["the", "of", "a", "b", f"x{k}"]) for _ in range(90)) for k in range(40)), None]
+    rng = np.random.default_rng(2)
+    idf, sent = rng.random(decontam.BUCKETS), rng.standard_normal((decontam.BUCKETS, 5)).astype(np.float32)
+    rows = dense_windows(texts, idf)
+    want = rows.T @ (rows @ sent)
+    for most in (1, 60, 1 << 15):
+        monkeypatch.setattr(decontam, "SUMMED_BLOCKS", most)
+        image = np.zeros((decontam.BUCKETS, 5))
+        products = decontam.Products(image, idf, sent * idf[:, None].astype(np.float32))
+        for at in range(0, len(texts), 7):
+            products.add(*textops.hashed_words(texts[at:at + 7]))
+            assert products.blocks < most
+        products.end()
+        assert np.abs(image * idf[:, None] - want).max() < 1e-4 * np.abs(want).max()
+
+
+def plain_cover(item, passage, weight):
+    best = np.zeros(len(passage) + 1)
+    for w, v in zip(item, weight):
+        step = best.copy()
+        hit = np.flatnonzero(passage == w)
+        step[hit + 1] = np.maximum(step[hit + 1], best[hit] + v)
+        best = np.maximum.accumulate(step)
+    return float(best[-1]) / float(weight.sum()) if weight.sum() else 0.0
+
+
+@pytest.mark.parametrize("vocabulary, items, n", [(3, 4, 20), (40, 5, 130), (2000, 40, 60), (30000, 60, 600)])
+def test_shares_and_covers_against_plain_ones(vocabulary, items, n):
+    r, rng = random.Random(vocabulary), np.random.default_rng(vocabulary)
+    words = [f"w{k}" for k in range(vocabulary)]
+    docs = [sentence(r, r.randint(0, 900), words) + " other " for _ in range(8)]
+    texts = [sentence(r, r.randint(1, n), words) for _ in range(items)] + ["", None, "nowhere"]
+    space = decontam.Space(rng.random(decontam.BUCKETS), rng.standard_normal((decontam.BUCKETS, 4)).astype(np.float32))
+    own = decontam._item_block([(i, t, None) for i, t in enumerate(texts)], space)
+    h, bounds = textops.hashed_words(docs)
+    known = decontam._known(h, own)
+    place = {w: k for k, w in enumerate(own.vocabulary.tolist())}
+    assert known.tolist() == [place.get(w, -1) for w in h.tolist()]
+    item = rng.integers(len(texts), size=300)
+    first = np.sort(rng.integers(len(h), size=300))
+    last = np.minimum(len(h), first + rng.integers(0, 200, size=300))
+    got = decontam._reach(item, first, last, known, own)
+    for i, lo, hi, part in zip(item.tolist(), first.tolist(), last.tolist(), got.tolist()):
+        weight = space.idf[decontam._buckets(own.words[i])]
+        there = np.isin(own.words[i], h[lo:hi])
+        assert part == pytest.approx(weight[there].sum() / weight.sum() if len(weight) else 0, abs=1e-6)
+        assert decontam.covered(own.words[i], h[lo:hi], weight) == plain_cover(own.words[i], h[lo:hi], weight)
+        assert decontam.covered(own.words[i], h[lo:hi], weight) <= part + 1e-6
+
+
+def test_candidates_cost_little():
+    """Over fifteen candidates a window, refused by their words; in time that hashing the texts takes."""
+    r, rng = random.Random(3), np.random.default_rng(0)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(4, 8))) for _ in range(3000)]
+    docs = [sentence(r, 400, words) for _ in range(300)]
+    space = decontam.Space(np.ones(decontam.BUCKETS), rng.standard_normal((decontam.BUCKETS, 8)).astype(np.float32))
+    own = decontam._item_block([(i, sentence(r, 36, words), None) for i in range(200)], space)
+    hashed = textops.hashed_words(docs)
+    windows = decontam.window_vectors(*hashed, space)
+    assert (windows[2] @ own.vectors.T >= 0.45).sum() > 15 * len(windows[2])
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            run()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: decontam.search(hashed, windows, space, own, 0.45, 0.6, 0.4)) < 9 * least(lambda: textops.hashed_words(docs))
+
+
 def test_the_space_is_that_of_all_windows(spark):
     """Forty topics, of which a start on about five windows can know only a few; against the best space of the rank."""
     r = random.Random(8)
